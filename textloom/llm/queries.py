@@ -2,18 +2,33 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import chat_format, exact_dedup, line_dedup, secret_scan, sharding
+from textloom.llm import chat_format, exact_dedup, line_dedup, packing, quality, secret_scan, sharding, simhash, token_counts
+from textloom.session import scratch_dir
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as one batch of inserts, committed twice: the second commit must find the first and add nothing."""
+    rollup = token_counts.TokenRollup(spark, f"{scratch_dir(spark)}/{spark.sparkContext.applicationId}/rollup-{uuid.uuid4().hex}")
+    counts = token_counts.inserts(token_counts.count_tokens(table(spark, sf_dir, "documents")))
+    rollup.commit("load", counts)
+    rollup.commit("load", counts)
+    return rollup.totals()
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     marked = line_dedup.mark_lines(docs)
@@ -46,6 +61,11 @@ from marked group by doc_id
 """
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = simhash.simhash_components(table(spark, sf_dir, "documents"), shingle=3, tau=2)
+    return rows.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"), keep="largest")
 
@@ -101,6 +121,12 @@ from coded group by conv_id
 """
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    references = quality.fit_references(docs, table(spark, sf_dir, "labels"))
+    return quality.assess_documents(docs, references)
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     spans = secret_scan.scan_secrets(docs, out_col="spans").select("doc_id", "spans")
@@ -120,10 +146,14 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_counts": op1_token_counts,
+    "op2_packing": op2_packing,
     "op3_line_dedup": op3_line_dedup,
+    "op4_simhash": op4_simhash,
     "op5_exact_dedup": op5_exact_dedup,
     "op7_sharding": op7_sharding,
     "op8_chat_format": op8_chat_format,
+    "op9_quality": op9_quality,
     "op10_secret_scan": op10_secret_scan,
 }
 ORACLE: dict[str, str] = {"op3_line_dedup": OP3_SQL, "op5_exact_dedup": OP5_SQL, "op8_chat_format": OP8_SQL}
