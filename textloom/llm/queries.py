@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import chat_format, exact_dedup, line_dedup, packing, quality, secret_scan, sharding, simhash, token_counts
+from textloom.llm import chat_format, exact_dedup, line_dedup, packing, quality, secret_scan, sentencepiece_codec, sharding, simhash, token_counts
 from textloom.session import scratch_dir
 
 
@@ -77,6 +77,12 @@ from documents window w as (partition by coalesce(text, ''))
 """
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: the number of ids, a digest of the ids (decimal, comma-joined), and a digest of what they decode to."""
+    rows = sentencepiece_codec.encode_documents(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", F.size("ids").cast("bigint").alias("n_ids"), F.md5(F.array_join("ids", ",")).alias("ids_md5"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sharding.shard_documents(table(spark, sf_dir, "documents"), n_shards=8)
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -151,6 +157,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_line_dedup": op3_line_dedup,
     "op4_simhash": op4_simhash,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_sentencepiece": op6_sentencepiece,
     "op7_sharding": op7_sharding,
     "op8_chat_format": op8_chat_format,
     "op9_quality": op9_quality,
