@@ -220,7 +220,7 @@ def hamming_links(fps: DataFrame, tau: int, bucket: int = BUCKET) -> DataFrame:
         if not heavy.isEmpty():
             hot = materialize(probe.join(heavy, ["part", "key"], "left_semi").select("fp").distinct(), "hot")
             around = F.lit([0, *(signed(1 << b) for b in range(64))]).cast("array<bigint>")
-            spots = hot.select("fp", F.explode(around).alias("flip")).select("fp", F.col("fp").bitwiseXOR("flip").alias("spot"))
+            spots = hot.select("fp", F.explode(around).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("spot"))
             meet = spots.groupBy("spot").agg(F.array_sort(F.collect_list("fp")).alias("all")).where(F.size("all") > 1)  # 65 at most
             stars = meet.select(F.get("all", F.lit(0)).alias("a"), F.explode(F.slice("all", 2, 65)).alias("b"))
             index = index.join(heavy, ["part", "key"], "left_anti")
