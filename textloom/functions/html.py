@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from html.parser import HTMLParser
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,8 +57,6 @@ def paragraphs(html: str | None) -> list[str]:
 
 
 def html_paragraphs(c: Column) -> Column:
-    import pandas as pd
-
     @F.pandas_udf("array<string>")
     def run(pages: pd.Series) -> pd.Series:
         return pages.map(paragraphs)

@@ -134,8 +134,15 @@ def text_hash(c: Column) -> Column:
 
 def ngrams(c: Column, n: int = 3) -> Column:
     """The set of character n-grams of a text in comparison form; a shorter text is its own n-gram, an empty one has none."""
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - (n - 1)), lambda i: F.substring(c, i, n)))
-    return F.when(F.length(c) >= n, grams).when(F.length(c) > 0, F.array(c)).otherwise(F.array().cast("array<string>"))
+    one = F.lit(1)
+
+    def grams(chars: Column) -> Column:
+        cut = F.transform(F.sequence(F.lit(0), F.size(chars) - n), lambda i: F.array_join(F.slice(chars, i + one, F.lit(n)), ""))
+        return F.when(F.size(chars) >= n, F.array_distinct(cut)).otherwise(F.array(F.array_join(chars, "")))
+
+    # The one-element array binds the characters once; cutting them is linear in the text's length.
+    found = F.get(F.transform(F.array(F.split(c, "")), grams), F.lit(0))
+    return F.when(F.length(c) > 0, found).otherwise(F.array().cast("array<string>"))
 
 
 def jaccard(a: Column, b: Column) -> Column:

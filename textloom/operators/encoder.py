@@ -5,6 +5,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,8 +36,6 @@ def encode_documents(docs: DataFrame, encoder: Callable, text_col: str = "text",
 
     With normalize, rows have length 1; a zero vector stays. A null text is encoded as an empty one.
     """
-    import pandas as pd
-
     @F.pandas_udf("array<float>")
     def run(texts: pd.Series) -> pd.Series:
         import numpy as np

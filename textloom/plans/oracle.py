@@ -81,7 +81,8 @@ fold as (
   select doc_id, paragraph_idx, ls, i + 1, case when fu then 1 else cnt + 1 end, case when fu then ls[i + 1] else size + ls[i + 1] + 1 end, case when fu then 1 else 0 end
   from (select *, (size + ls[i + 1] > {S.MAX_CHARS} and cnt >= 2) or cnt >= {S.MAX_SENTENCES} as fu from fold where i < len(ls))
 ), numbered as (select doc_id, paragraph_idx, i, sum(cut) over (partition by doc_id, paragraph_idx order by i) as g from fold),
-sized as (select doc_id, paragraph_idx, g, count(*) as n, max(g) over (partition by doc_id, paragraph_idx) as last from numbered group by all),
+counted_cuts as (select doc_id, paragraph_idx, g, count(*) as n from numbered group by all),
+sized as (select *, max(g) over (partition by doc_id, paragraph_idx) as last from counted_cuts),
 mapped as (
   select s.doc_id, s.paragraph_idx, s.g, case when s.g = s.last and s.n = 1 and s.g > 0 and p.n < {S.MAX_SENTENCES} then s.g - 1 else s.g end as h
   from sized s left join sized p on s.doc_id = p.doc_id and s.paragraph_idx = p.paragraph_idx and p.g = s.g - 1
@@ -149,8 +150,9 @@ ORACLE: dict[str, str] = {
     "corpus_totals": f"with {NORM_CTE} select sum(length(raw))::bigint as original_chars, sum(length(text))::bigint as normalized_chars from norm",
     "word_counts": f"select doc_id, {words('text')}::int as n_regex, {tokens('text')}::int as n_ws from documents",
     "folder_words": f"select sum({tokens('text')})::bigint as n_words from documents",
-    "text_scalars": f"""select doc_id, md5({form('text')}) as form_md5, case when length(text) > 150 then left(text, 150) || '...' else text end as short, replace(left(text, 150), chr(10), ' ') as line,
-      case when length({form('text')}) >= 3 then len(list_distinct(list_transform(range(1, length({form('text')}) - 1), lambda i: substr({form('text')}, i, 3)))) when length({form('text')}) > 0 then 1 else 0 end::int as n_grams from documents""",
+    "text_scalars": f"""with f as materialized (select doc_id, text, {form('text')} as form from documents)
+      select doc_id, md5(form) as form_md5, case when length(text) > 150 then left(text, 150) || '...' else text end as short, replace(left(text, 150), chr(10), ' ') as line,
+      case when length(form) >= 3 then len(list_distinct(list_transform(range(1, length(form) - 1), lambda i: substr(form, i, 3)))) when length(form) > 0 then 1 else 0 end::int as n_grams from f""",
     "paragraphs": f"with {PAR_CTE} select doc_id, paragraph_idx, {words('paragraph')}::int as n_words, md5(paragraph) as text_md5 from par",
     "sentences": f"with {NORM_CTE}, s as (select doc_id, {sentence_list('text')} as ss from norm) select doc_id, unnest(range(len(ss)))::int as sent_idx, unnest(ss) as text from s",
     "segments": f"with recursive {SEG_CTE} select {KEYS}, md5(text) as text_md5, char_count::int as char_count, word_count::int as word_count, sentence_count::int as sentence_count from seg",
