@@ -278,14 +278,14 @@ def similar_components(
     text_col: str = "text",
     shingle: int = 5,
     similarity: float = 0.8,
-    recall: float = 0.93,
+    recall: float = 0.98,
     bucket: int = BUCKET,
 ) -> DataFrame:
     """(doc, component_id) for documents linked by an estimated Jaccard similarity of their shingles of `similarity`.
 
     64 bits can't tell 0.8: pairs of that similarity differ in 4 to 14 of them. So the fingerprint is as wide as
     wide_plan() asks, and the share of differing bits, which has a standard error under 0.01, is the similarity
-    that is verified. Equal fingerprints are one node. Buckets of one group's bits up to `bucket` nodes are compared
+    that is verified, with one standard error in favour of a link. Equal fingerprints are one node. Buckets of one group's bits up to `bucket` nodes are compared
     pair by pair; larger ones, which are groups of near copies, are compared with their smallest node (their other
     pairs meet in other groups' buckets). Texts under `shingle` words are one shingle; null texts count as empty.
     Ids must be unique; rows with null ids are in no component.
@@ -293,7 +293,7 @@ def similar_components(
     n = docs.count()
     width, count = wide_plan(n, similarity, recall)
     words = -(-count // (64 // width))
-    limit = int(words * 64 * differing(similarity) + 0.5 * math.sqrt(words * 64 * differing(similarity) * (1 - differing(similarity))))
+    limit = int(words * 64 * differing(similarity) + math.sqrt(words * 64 * differing(similarity) * (1 - differing(similarity))))
     rows = materialize(fingerprints(docs.where(F.col(id_col).isNotNull()), id_col, text_col, shingle, words), "wide")
     nodes = materialize(rows.groupBy("fp").agg(F.min("doc").alias("node")), "nodes")
     per_word = 64 // width
