@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 MARK = "▁"
 RUNS = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
 CACHE = 500_000
+STOPS = ".,;:!?"
 
 
 def default_path() -> str:
@@ -44,7 +45,12 @@ class PieceCodec:
         self.raw[self.unknown] = " ⁇ ".encode()
         # A piece that merging its own text doesn't give is never on a path.
         self.reachable = {p for p in self.ids if self.merge(p) == [p]}
-        self.longest = max(map(len, self.reachable), default=1)
+        #: The lengths, longest first, of the reachable pieces that end in these three letters.
+        self.lengths: dict[str, list[int]] = {}
+        for size, end in sorted({(-len(p), p[-3:]) for p in self.reachable if len(p) > 2}):
+            self.lengths.setdefault(end, []).append(-size)
+        # No piece spans two letters that no piece has side by side: there, a word can be cut before it is looked up.
+        self.joined = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
         self.stable: dict[tuple[str, str], bool] = {}
         self.cache_size = cache_size
         self.marked: dict[str, tuple] = {}
@@ -73,7 +79,7 @@ class PieceCodec:
     def encode_words(self, words: list[str]) -> dict[str, tuple]:
         """The ids of each word: a depth-first walk of the words' trie."""
         out, last, before = {}, [""], ""
-        reachable, longest, stable, is_stable = self.reachable, self.longest, self.stable, self.is_stable
+        reachable, lengths, stable, is_stable = self.reachable, self.lengths, self.stable, self.is_stable
         for word in sorted(words):
             shared = 0
             for a, b in zip(before, word):
@@ -82,15 +88,17 @@ class PieceCodec:
                 shared += 1
             del last[shared + 1 :]
             for end in range(shared + 1, len(word) + 1):
-                for start in range(max(0, end - longest), end):
-                    piece = word[start:end]
-                    if piece not in reachable and start < end - 1:
+                for size in (*lengths.get(word[end - 3 : end], ()), 2) if end > 2 else (2,):
+                    piece, start = word[end - size : end], end - size
+                    if start < 0 or piece not in reachable:
                         continue
                     if not start:
                         break
                     pair = (last[start], piece)
                     if stable[pair] if pair in stable else is_stable(*pair):
                         break
+                else:  # just one piece continues the path, so it is this letter
+                    piece = word[end - 1]
                 last.append(piece)
             path, end = [], len(word)
             while end:
@@ -126,16 +134,33 @@ class PieceCodec:
 
     def prepare(self, texts: list[str]) -> list[list[tuple[bool, str]]]:
         """The words of all texts, with the ids of each in the caches: the new ones go through one trie."""
-        for cache in (self.marked, self.bare, self.stable):
+        for cache in (self.marked, self.bare):
             if len(cache) > self.cache_size:
                 cache.clear()
+        if len(self.stable) > 2 * self.cache_size:
+            self.stable.clear()
         split = [self.pieces(t) for t in texts]
         new = {x for words in split for x in words if x[1] not in (self.marked if x[0] else self.bare)}
-        ids = self.encode_words([MARK + w if m else w for m, w in new])
-        for m, w in new:
+        cut = {x: self.cut(x[1]) for x in new}
+        cores = {(x[0], core) for x, (core, _) in cut.items()} | {(False, tail) for _, tail in cut.values() if tail}
+        cores = {x for x in cores if x[1] not in (self.marked if x[0] else self.bare)}
+        ids = self.encode_words([MARK + w if m else w for m, w in cores])
+        for m, w in cores:
             (self.marked if m else self.bare)[w] = ids[MARK + w if m else w]
+        for (m, w), (core, tail) in cut.items():
+            if tail:
+                own = self.marked if m else self.bare
+                own[w] = own[core] + self.bare[tail]
         return split
 
+    def cut(self, word: str) -> tuple[str, str]:
+        """The word without the stops at its end, and these, if no piece spans the place between."""
+        core = word.rstrip(STOPS)
+        at = len(core)
+        if not 0 < at < len(word) or word[at - 1 : at + 1] in self.joined:
+            return word, ""
+        return core, word[at:]
+
     def encode_batch(self, texts: list[str]) -> list[list[int]]:
         marked, bare = self.marked, self.bare
         return [[i for m, w in words for i in (marked[w] if m else bare[w])] for words in self.prepare(texts)]
@@ -155,7 +180,7 @@ def piece_codec(path: str | None) -> PieceCodec:
     return _ready[path]
 
 
-def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, batch: int = 128) -> DataFrame:
+def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, batch: int = 512) -> DataFrame:
     """One row per document: id_col, ids (array<int>, as the library encodes the text) and decoded, the ids' text.
 
     Tasks are independent; each holds `batch` texts and a cache of bounded size. A null or empty text has no ids.
