@@ -14,6 +14,7 @@ from textloom.session import materialize
 SEED = 42  # fixed value of the contract
 #: Buckets up to this size are compared within; larger ones go another way, see the functions.
 BUCKET = 100
+WIDE_BUCKET = 16
 #: Wide fingerprints: counts of shingles are folded into this many signed cells before they are projected.
 CELLS = 4096
 
@@ -279,7 +280,7 @@ def similar_components(
     shingle: int = 5,
     similarity: float = 0.8,
     recall: float = 0.98,
-    bucket: int = BUCKET,
+    bucket: int = WIDE_BUCKET,
 ) -> DataFrame:
     """(doc, component_id) for documents linked by an estimated Jaccard similarity of their shingles of `similarity`.
 
