@@ -14,7 +14,8 @@ from textloom.session import materialize
 SEED = 42  # fixed value of the contract
 #: Buckets up to this size are compared within; larger ones go another way, see the functions.
 BUCKET = 100
-WIDE_BUCKET = 16
+#: Wide fingerprints: pairs of different components in a bucket are compared if they are at most half as many per node.
+CROSS = 16
 #: Wide fingerprints: counts of shingles are folded into this many signed cells before they are projected.
 CELLS = 4096
 
@@ -280,16 +281,20 @@ def similar_components(
     shingle: int = 5,
     similarity: float = 0.8,
     recall: float = 0.98,
-    bucket: int = WIDE_BUCKET,
+    bucket: int = BUCKET,
 ) -> DataFrame:
     """(doc, component_id) for documents linked by an estimated Jaccard similarity of their shingles of `similarity`.
 
     64 bits can't tell 0.8: pairs of that similarity differ in 4 to 14 of them. So the fingerprint is as wide as
     wide_plan() asks, and the share of differing bits, which has a standard error under 0.01, is the similarity
-    that is verified, with one standard error in favour of a link. Equal fingerprints are one node. Buckets of one group's bits up to `bucket` nodes are compared
-    pair by pair; larger ones, which are groups of near copies, are compared with their smallest node (their other
-    pairs meet in other groups' buckets). Texts under `shingle` words are one shingle; null texts count as empty.
-    Ids must be unique; rows with null ids are in no component.
+    that is verified, with one standard error in favour of a link. Equal fingerprints are one node.
+
+    Candidates come in two rounds, so that a group of near copies makes rows in proportion to its size. First, each
+    bucket of one group's bits is compared with its smallest node, and what is linked becomes one component. Then a
+    bucket that still holds several components has its pairs across components compared; pairs within one would
+    change nothing. This second round leaves out buckets over `bucket` nodes and those with over CROSS / 2 such pairs
+    a node; the pairs there meet in other groups' buckets. Texts under `shingle` words are one shingle; null texts
+    count as empty. Ids must be unique; rows with null ids are in no component.
     """
     n = docs.count()
     width, count = wide_plan(n, similarity, recall)
@@ -310,16 +315,27 @@ def similar_components(
     shared = index.groupBy("part", "key").agg(F.count("*").alias("size"), F.min("node").alias("first")).where("size > 1")
     shared = materialize(shared, "buckets")
     met = materialize(index.join(shared, ["part", "key"]), "met")
-    small = met.where(F.col("size") <= bucket)
-    pairs = small.select("part", "key", F.col("node").alias("a")).join(small.select("part", "key", F.col("node").alias("b")), ["part", "key"]).where("a < b").select("a", "b")
-    stars = met.where((F.col("size") > bucket) & (F.col("node") > F.col("first"))).select(F.col("first").alias("a"), F.col("node").alias("b"))
-    pairs = materialize(pairs.unionByName(stars).distinct(), "pairs")
-    left = pairs.join(nodes.select(F.col("node").alias("a"), F.col("fp").alias("fa")), "a")
-    checked = left.join(nodes.select(F.col("node").alias("b"), F.col("fp").alias("fb")), "b")
-    apart = F.aggregate(F.zip_with("fa", "fb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    links = materialize(checked.where(apart <= limit).select("a", "b"), "links")
-    roots = connected_components(links)
-    place = materialize(nodes.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id")), "places")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        left = pairs.join(nodes.select(F.col("node").alias("a"), F.col("fp").alias("fa")), "a")
+        both = left.join(nodes.select(F.col("node").alias("b"), F.col("fp").alias("fb")), "b")
+        apart = F.aggregate(F.zip_with("fa", "fb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+        return both.where(apart <= limit).drop("fa", "fb")
+
+    stars = materialize(met.where("node > first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct(), "stars")
+    roots = connected_components(materialize(verified(stars), "links"))
+    rooted = met.where((F.col("size") > 2) & (F.col("size") <= bucket)).join(roots, "node", "left")
+    rooted = materialize(rooted.select("part", "key", "first", "node", F.coalesce("root", "node").alias("root")), "rooted")
+    sizes = rooted.groupBy("part", "key", "root").agg(F.count("*").alias("c")).groupBy("part", "key").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("same"))
+    crossing = (F.col("s") * F.col("s") - F.col("same")).between(1, F.lit(CROSS) * F.col("s"))
+    mixed = materialize(rooted.join(sizes.where(crossing).select("part", "key"), ["part", "key"], "left_semi").where("node > first"), "mixed")
+    here = mixed.select("part", "key", F.col("node").alias("a"), F.col("root").alias("ra"))
+    there = mixed.select("part", "key", F.col("node").alias("b"), F.col("root").alias("rb"))
+    pairs = here.join(there, ["part", "key"]).where("a < b and ra <> rb").select("a", "b", "ra", "rb").distinct()
+    crossed = materialize(verified(materialize(pairs, "pairs")).select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct(), "crossed")
+    tops = connected_components(crossed).select(F.col("node").alias("root"), F.col("root").alias("top"))
+    owned = nodes.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("root"))
+    place = materialize(owned.join(tops, "root", "left").select("fp", F.coalesce("top", "root").alias("component_id")), "places")
     return rows.join(place, "fp").select("doc", "component_id")
 
 
