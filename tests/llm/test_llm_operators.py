@@ -356,6 +356,52 @@ def test_similar_components(spark, empty):
     assert simhash.drop_near_duplicates(empty).count() == 0
 
 
+def family(n, shared, own, seed=5):
+    """Documents of one family: a passage that all share and words of their own; each tenth is a near copy with three edits."""
+    r = random.Random(seed)
+    passage = [f"p{i}" for i in range(shared)]
+    out = []
+    for i in range(n):
+        if i % 10 == 9:
+            w = out[i - 5 if i % 20 == 9 else i - 3][1].split(" ")
+            for k in (30, 70, 110):
+                w[k] = f"edit{i}.{k}"
+        else:
+            w = passage + [f"w{r.randrange(10**9)}" for _ in range(own)]
+        out.append((i, " ".join(w)))
+    return out
+
+
+def brute_components(rows, shingle=5, similarity=0.8):
+    """Components of exact Jaccard similarity over all pairs."""
+    sets = {}
+    for i, text in rows:
+        w = text.split()
+        sets[i] = {tuple(w[k : k + shingle]) for k in range(max(len(w) - shingle + 1, 1))}
+    top = {i: i for i in sets}
+
+    def find(i):
+        while top[i] != i:
+            i = top[i]
+        return i
+
+    for i in sets:
+        for j in sets:
+            if i < j and len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j]):
+                a, b = find(i), find(j)
+                top[max(a, b)] = min(a, b)
+    return {i: find(i) for i in sets}
+
+
+def test_similar_components_in_a_boilerplate_family(spark):
+    rows = family(1500, shared=140, own=42)
+    want = brute_components(rows)
+    assert sum(k != v for k, v in want.items()) == 150
+    for options in ({}, {"block": 20}):
+        got = {x["doc"]: x["component_id"] for x in simhash.similar_components(spark.createDataFrame(rows, "doc_id bigint, text string"), **options).collect()}
+        assert sum(want[k] != k and got[k] == k for k in want) <= 3  # recall 0.98
+
+
 def test_codec_equals_the_library(docs, empty):
     from sentencepiece import SentencePieceProcessor
 

@@ -14,8 +14,10 @@ from textloom.session import materialize
 SEED = 42  # fixed value of the contract
 #: Buckets up to this size are compared within; larger ones go another way, see the functions.
 BUCKET = 100
-#: Wide fingerprints: pairs of different components in a bucket are compared if they are at most half as many per node.
+#: Wide fingerprints: with at most half as many pairs of different components per node a bucket's pairs are joined, else compared in blocks.
 CROSS = 16
+#: Wide fingerprints: nodes of a block, of a bucket whose pairs aren't joined.
+BLOCK = 512
 #: Wide fingerprints: counts of shingles are folded into this many signed cells before they are projected.
 CELLS = 4096
 
@@ -274,6 +276,42 @@ def wide_plan(n: int, similarity: float, recall: float) -> tuple[int, int]:
     return width, math.ceil(math.log(1 - recall) / math.log(1 - agree))
 
 
+def compared_in_blocks(rows: DataFrame, nodes: DataFrame, limit: int, block: int) -> DataFrame:
+    """(a, b, ra, rb): all pairs of rows(part, key, node, root, s) of one bucket, of different roots, whose fp differ in at most `limit` bits.
+
+    A bucket of s nodes is dealt over ceil(s / block) chunks by a hash of the node, and each two chunks meet in one
+    group of at most about two blocks, so no bucket is one task's and no pair that is far apart becomes a row.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    def bits(column):
+        flat = column.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype("<i8", copy=False)
+        return np.unpackbits(flat.view(np.uint8).reshape(len(column), -1), axis=1).astype(np.float32) * 2 - 1
+
+    def compare(table: pa.Table) -> pa.Table:
+        node, root, own = (table[c].to_numpy() for c in ("node", "root", "own"))
+        x, y = table["x"][0].as_py(), table["y"][0].as_py()
+        signs = bits(table["fp"])
+        left, right = np.flatnonzero(own == x), np.flatnonzero(own == y)
+        near = (signs.shape[1] - signs[left] @ signs[right].T) / 2 <= limit
+        near &= root[left][:, None] != root[right][None, :]
+        i, j = np.nonzero(near)
+        i, j = left[i], right[j]
+        if x == y:
+            i, j = i[node[i] < node[j]], j[node[i] < node[j]]
+        swap = node[i] > node[j]
+        i, j = np.where(swap, j, i), np.where(swap, i, j)
+        return pa.table({"a": node[i], "b": node[j], "ra": root[i], "rb": root[j]})
+
+    chunks = F.ceil(F.col("s") / block).cast("int")
+    dealt = rows.withColumn("own", F.pmod(F.xxhash64("node"), chunks).cast("int")).withColumn("n", chunks)
+    spread = dealt.select("part", "key", "node", "root", "own", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other"))
+    spread = spread.select("part", "key", "node", "root", "own", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
+    met = spread.join(nodes, "node").groupBy("part", "key", "x", "y")
+    return met.applyInArrow(compare, "a bigint, b bigint, ra bigint, rb bigint").distinct()
+
+
 def similar_components(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -282,6 +320,7 @@ def similar_components(
     similarity: float = 0.8,
     recall: float = 0.98,
     bucket: int = BUCKET,
+    block: int = BLOCK,
 ) -> DataFrame:
     """(doc, component_id) for documents linked by an estimated Jaccard similarity of their shingles of `similarity`.
 
@@ -292,8 +331,8 @@ def similar_components(
     Candidates come in two rounds, so that a group of near copies makes rows in proportion to its size. First, each
     bucket of one group's bits is compared with its smallest node, and what is linked becomes one component. Then a
     bucket that still holds several components has its pairs across components compared; pairs within one would
-    change nothing. This second round leaves out buckets over `bucket` nodes and those with over CROSS / 2 such pairs
-    a node; the pairs there meet in other groups' buckets. Texts under `shingle` words are one shingle; null texts
+    change nothing. No bucket is left out: those of over `bucket` nodes, or with over CROSS / 2 such pairs a node, are
+    compared in blocks of about `block` nodes, which give only the pairs that are near as rows. Texts under `shingle` words are one shingle; null texts
     count as empty. Ids must be unique; rows with null ids are in no component.
     """
     n = docs.count()
@@ -324,15 +363,18 @@ def similar_components(
 
     stars = materialize(met.where("node > first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct(), "stars")
     roots = connected_components(materialize(verified(stars), "links"))
-    rooted = met.where((F.col("size") > 2) & (F.col("size") <= bucket)).join(roots, "node", "left")
+    rooted = met.where("size > 2").join(roots, "node", "left")
     rooted = materialize(rooted.select("part", "key", "first", "node", F.coalesce("root", "node").alias("root")), "rooted")
     sizes = rooted.groupBy("part", "key", "root").agg(F.count("*").alias("c")).groupBy("part", "key").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("same"))
-    crossing = (F.col("s") * F.col("s") - F.col("same")).between(1, F.lit(CROSS) * F.col("s"))
-    mixed = materialize(rooted.join(sizes.where(crossing).select("part", "key"), ["part", "key"], "left_semi").where("node > first"), "mixed")
+    sizes = materialize(sizes.where("s * s > same").select("part", "key", "s", ((F.col("s") <= bucket) & (F.col("s") * F.col("s") - F.col("same") <= F.lit(CROSS) * F.col("s"))).alias("few")), "sizes")
+    mixed = materialize(rooted.join(sizes.where("few").select("part", "key"), ["part", "key"], "left_semi").where("node > first"), "mixed")
     here = mixed.select("part", "key", F.col("node").alias("a"), F.col("root").alias("ra"))
     there = mixed.select("part", "key", F.col("node").alias("b"), F.col("root").alias("rb"))
     pairs = here.join(there, ["part", "key"]).where("a < b and ra <> rb").select("a", "b", "ra", "rb").distinct()
-    crossed = materialize(verified(materialize(pairs, "pairs")).select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct(), "crossed")
+    joined = verified(materialize(pairs, "pairs"))
+    full = rooted.join(sizes.where("not few").select("part", "key", "s"), ["part", "key"])
+    blocks = materialize(compared_in_blocks(full, nodes.select("node", "fp"), limit, block), "blocks")
+    crossed = materialize(joined.unionByName(blocks).select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct(), "crossed")
     tops = connected_components(crossed).select(F.col("node").alias("root"), F.col("root").alias("top"))
     owned = nodes.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("root"))
     place = materialize(owned.join(tops, "root", "left").select("fp", F.coalesce("top", "root").alias("component_id")), "places")
