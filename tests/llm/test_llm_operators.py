@@ -402,6 +402,17 @@ def test_similar_components_in_a_boilerplate_family(spark):
         assert sum(want[k] != k and got[k] == k for k in want) <= 3  # recall 0.98
 
 
+def test_similar_components_links_by_exact_similarity(spark):
+    rows = family(300, shared=160, own=26)
+    want = brute_components(rows)
+    assert sum(k != v for k, v in want.items()) == 30
+    rows += [(1000 + i, f"{i} tail") for i in range(300)]  # one shingle each, whose bits may coincide
+    want |= {1000 + i: 1000 + i for i in range(300)}
+    got = {x["doc"]: x["component_id"] for x in simhash.similar_components(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert [k for k in got if got[k] not in (k, want[k])] == []
+    assert sum(want[k] != k and got[k] == k for k, _ in rows) <= 1
+
+
 def test_codec_equals_the_library(docs, empty):
     from sentencepiece import SentencePieceProcessor
 

@@ -64,20 +64,24 @@ def projection(words: int):
 _projections: dict = {}
 
 
-def wide_bits(texts: list[bytes], shingle: int, words: int):
-    """One row of `words` 64-bit words per text: the signs of a random projection of its set of shingles."""
+def wide_bits(sets: list, words: int):
+    """One row of `words` 64-bit words per set of shingle hashes: the signs of a random projection of it."""
     import numpy as np
 
-    cells = np.zeros((len(texts), CELLS), np.float32)
-    for row, text in enumerate(texts):
-        hashes = np.unique(shingle_hashes(text, shingle))
+    cells = np.zeros((len(sets), CELLS), np.float32)
+    for row, hashes in enumerate(sets):
         cells[row] = np.bincount((hashes & np.uint64(CELLS - 1)).astype(np.int64), 1 - 2.0 * (hashes >> np.uint64(63)), CELLS)
     return np.packbits(cells @ projection(words) > 0, axis=1, bitorder="little").view("<i8")
 
 
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int, words: int | None = None) -> DataFrame:
-    """(doc, fp): fp is a 64-bit integer, or an array of `words` of them if that is given. Null texts count as empty."""
+    """(doc, fp): fp is a 64-bit integer, or, if `words` is given, an array of so many; null texts count as empty.
+
+    With `words` there are also n_shingles and digest, the number of different shingles and what identifies their set.
+    """
+    import numpy as np
     import pyarrow as pa
+    from xxhash import xxh3_128_digest
 
     def run(batches):
         for batch in batches:
@@ -85,14 +89,36 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int, word
                 part = batch.slice(at, 256)
                 texts = part.column(1).to_pylist()
                 if words:
-                    bits = wide_bits(texts, shingle, words)
+                    sets = [np.unique(shingle_hashes(t, shingle)) for t in texts]
+                    bits = wide_bits(sets, words)
                     out = pa.ListArray.from_arrays(pa.array(range(0, bits.size + 1, words), pa.int32()), pa.array(bits.reshape(-1)))
+                    more = [pa.array(map(len, sets), pa.int32()), pa.array([xxh3_128_digest(h.tobytes()) for h in sets], pa.binary())]
+                    yield pa.RecordBatch.from_arrays([part.column(0), out, *more], ["doc", "fp", "n_shingles", "digest"])
                 else:
                     out = pa.array([majority_bits(shingle_hashes(t, shingle)) for t in texts], pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column(0), out], ["doc", "fp"])
+                    yield pa.RecordBatch.from_arrays([part.column(0), out], ["doc", "fp"])
+
+    return given_texts(docs, id_col, text_col).mapInArrow(run, "doc bigint, fp " + ("array<bigint>, n_shingles int, digest binary" if words else "bigint"))
+
+
+def given_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("bigint").alias("doc"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"))
+
+
+def shingle_sets(given: DataFrame, shingle: int) -> DataFrame:
+    """(doc, hashes): the different shingle hashes of given(doc, text)."""
+    import numpy as np
+    import pyarrow as pa
 
-    given = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"))
-    return given.mapInArrow(run, "doc bigint, fp " + ("array<bigint>" if words else "bigint"))
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                sets = [np.unique(shingle_hashes(t, shingle)).view("<i8") for t in part.column(1).to_pylist()]
+                ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))], ["doc", "hashes"])
+
+    return given.mapInArrow(run, "doc bigint, hashes array<bigint>")
 
 
 # ---------------------------------------------------------------- the plan
@@ -276,10 +302,10 @@ def wide_plan(n: int, similarity: float, recall: float) -> tuple[int, int]:
     return width, math.ceil(math.log(1 - recall) / math.log(1 - agree))
 
 
-def compared_in_blocks(rows: DataFrame, nodes: DataFrame, limit: int, block: int) -> DataFrame:
+def compared_in_blocks(rows: DataFrame, nodes: DataFrame, similarity: float, limit: int, block: int) -> DataFrame:
     """(a, b, ra, rb): all pairs of rows(part, key, node, root, s) of one bucket, of different roots, whose fp differ in at most `limit` bits.
 
-    A bucket of s nodes is dealt over ceil(s / block) chunks by a hash of the node, and each two chunks meet in one
+    Pairs whose numbers of shingles rule out the similarity go too. A bucket of s nodes is dealt over ceil(s / block) chunks by a hash of the node, and each two chunks meet in one
     group of at most about two blocks, so no bucket is one task's and no pair that is far apart becomes a row.
     """
     import numpy as np
@@ -296,6 +322,8 @@ def compared_in_blocks(rows: DataFrame, nodes: DataFrame, limit: int, block: int
         left, right = np.flatnonzero(own == x), np.flatnonzero(own == y)
         near = (signs.shape[1] - signs[left] @ signs[right].T) / 2 <= limit
         near &= root[left][:, None] != root[right][None, :]
+        size = table["n_shingles"].to_numpy().astype(np.float64)
+        near &= np.minimum.outer(size[left], size[right]) >= (similarity - 1e-9) * np.maximum.outer(size[left], size[right])
         i, j = np.nonzero(near)
         i, j = left[i], right[j]
         if x == y:
@@ -322,11 +350,12 @@ def similar_components(
     bucket: int = BUCKET,
     block: int = BLOCK,
 ) -> DataFrame:
-    """(doc, component_id) for documents linked by an estimated Jaccard similarity of their shingles of `similarity`.
+    """(doc, component_id) for documents linked by a Jaccard similarity of their sets of shingles of `similarity` or more.
 
     64 bits can't tell 0.8: pairs of that similarity differ in 4 to 14 of them. So the fingerprint is as wide as
-    wide_plan() asks, and the share of differing bits, which has a standard error under 0.01, is the similarity
-    that is verified, with one standard error in favour of a link. Equal fingerprints are one node.
+    wide_plan() asks. It only finds candidates: pairs that share a group's bits, and of these the ones whose share of
+    differing bits is within three standard errors of what `similarity` gives. A link is made if the exact similarity
+    of the two sets of shingle hashes is `similarity` or more. Equal sets are one node.
 
     Candidates come in two rounds, so that a group of near copies makes rows in proportion to its size. First, each
     bucket of one group's bits is compared with its smallest node, and what is linked becomes one component. Then a
@@ -338,9 +367,10 @@ def similar_components(
     n = docs.count()
     width, count = wide_plan(n, similarity, recall)
     words = -(-count // (64 // width))
-    limit = int(words * 64 * differing(similarity) + math.sqrt(words * 64 * differing(similarity) * (1 - differing(similarity))))
-    rows = materialize(fingerprints(docs.where(F.col(id_col).isNotNull()), id_col, text_col, shingle, words), "wide")
-    nodes = materialize(rows.groupBy("fp").agg(F.min("doc").alias("node")), "nodes")
+    limit = int(words * 64 * differing(similarity) + 3 * math.sqrt(words * 64 * differing(similarity) * (1 - differing(similarity))))
+    known = docs.where(F.col(id_col).isNotNull())
+    rows = materialize(fingerprints(known, id_col, text_col, shingle, words), "wide")
+    nodes = materialize(rows.groupBy("digest", "n_shingles", "fp").agg(F.min("doc").alias("node")), "nodes")
     per_word = 64 // width
     cells = F.flatten(
         F.transform(
@@ -355,14 +385,31 @@ def similar_components(
     shared = materialize(shared, "buckets")
     met = materialize(index.join(shared, ["part", "key"]), "met")
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        left = pairs.join(nodes.select(F.col("node").alias("a"), F.col("fp").alias("fa")), "a")
-        both = left.join(nodes.select(F.col("node").alias("b"), F.col("fp").alias("fb")), "b")
+    def near(pairs: DataFrame) -> DataFrame:
+        left = pairs.join(nodes.select(F.col("node").alias("a"), F.col("fp").alias("fa"), F.col("n_shingles").alias("na")), "a")
+        both = left.join(nodes.select(F.col("node").alias("b"), F.col("fp").alias("fb"), F.col("n_shingles").alias("nb")), "b")
         apart = F.aggregate(F.zip_with("fa", "fb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-        return both.where(apart <= limit).drop("fa", "fb")
+        alike = F.least("na", "nb") / F.greatest("na", "nb") >= similarity
+        return both.where(alike).withColumn("apart", apart).where(F.col("apart") <= limit).drop("fa", "fb", "na", "nb")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        used = pairs.select(F.col("a").alias("doc")).unionByName(pairs.select(F.col("b").alias("doc"))).distinct()
+        sets = materialize(shingle_sets(given_texts(known, id_col, text_col).join(used, "doc", "left_semi"), shingle), "sets")
+        both = pairs.join(sets.toDF("a", "ha"), "a").join(sets.toDF("b", "hb"), "b")
+        common = F.size(F.array_intersect("ha", "hb"))
+        return both.where(common / (F.size("ha") + F.size("hb") - common) >= similarity).drop("ha", "hb")
 
+    # Most nodes of a group of near copies are linked by the nearest of their candidates; the rest need the other ones.
     stars = materialize(met.where("node > first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct(), "stars")
-    roots = connected_components(materialize(verified(stars), "links"))
+    stars = materialize(near(stars), "near")
+    nearest = materialize(stars.groupBy("b").agg(F.min(F.struct("apart", "a")).alias("x")).select("x.a", "b"), "nearest")
+    links = materialize(verified(nearest), "links")
+    roots = connected_components(links)
+    apart = stars.join(roots.toDF("a", "ra"), "a", "left").join(roots.toDF("b", "rb"), "b", "left")
+    apart = apart.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b").join(nearest, ["a", "b"], "left_anti")
+    more = materialize(verified(materialize(apart, "apart")), "links")
+    if not more.isEmpty():
+        roots = connected_components(links.unionByName(more))
     rooted = met.where("size > 2").join(roots, "node", "left")
     rooted = materialize(rooted.select("part", "key", "first", "node", F.coalesce("root", "node").alias("root")), "rooted")
     sizes = rooted.groupBy("part", "key", "root").agg(F.count("*").alias("c")).groupBy("part", "key").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("same"))
@@ -371,14 +418,15 @@ def similar_components(
     here = mixed.select("part", "key", F.col("node").alias("a"), F.col("root").alias("ra"))
     there = mixed.select("part", "key", F.col("node").alias("b"), F.col("root").alias("rb"))
     pairs = here.join(there, ["part", "key"]).where("a < b and ra <> rb").select("a", "b", "ra", "rb").distinct()
-    joined = verified(materialize(pairs, "pairs"))
+    joined = near(materialize(pairs, "pairs")).drop("apart")
     full = rooted.join(sizes.where("not few").select("part", "key", "s"), ["part", "key"])
-    blocks = materialize(compared_in_blocks(full, nodes.select("node", "fp"), limit, block), "blocks")
-    crossed = materialize(joined.unionByName(blocks).select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct(), "crossed")
+    blocks = materialize(compared_in_blocks(full, nodes.select("node", "fp", "n_shingles"), similarity, limit, block), "blocks")
+    crossing = materialize(joined.unionByName(blocks).distinct().join(stars.select("a", "b"), ["a", "b"], "left_anti"), "crossing")
+    crossed = materialize(verified(crossing).select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct(), "crossed")
     tops = connected_components(crossed).select(F.col("node").alias("root"), F.col("root").alias("top"))
-    owned = nodes.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("root"))
-    place = materialize(owned.join(tops, "root", "left").select("fp", F.coalesce("top", "root").alias("component_id")), "places")
-    return rows.join(place, "fp").select("doc", "component_id")
+    owned = nodes.join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("root"))
+    place = materialize(owned.join(tops, "root", "left").select("digest", F.coalesce("top", "root").alias("component_id")), "places")
+    return rows.select("doc", "digest").join(place, "digest").select("doc", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
