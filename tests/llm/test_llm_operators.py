@@ -413,6 +413,16 @@ def test_similar_components_links_by_exact_similarity(spark):
     assert sum(want[k] != k and got[k] == k for k, _ in rows) <= 1
 
 
+def test_references_do_not_depend_on_other_languages(spark):
+    docs = [(i, words(i, 20), "rare" if i < 10 else "often") for i in range(400)]
+    docs = spark.createDataFrame(docs, "doc_id bigint, text string, lang string")
+    labels = spark.createDataFrame([(i, 1) for i in range(-400, 400)], "doc_id bigint, quality int")
+    alone = quality.fit_references(docs.where("lang = 'rare'"), labels)
+    both = quality.fit_references(docs, labels, limit=50)
+    assert both["rare"] == alone["rare"] and alone["rare"][2] > 100
+    assert 0.5 < both["often"][2] / (50 * alone["rare"][2] / 10) < 1.1  # about 50 documents
+
+
 def test_codec_equals_the_library(docs, empty):
     from sentencepiece import SentencePieceProcessor
 

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from textloom.session import materialize
+
 WORD = re.compile("[^\x20\x09-\x0d]+")  # fixed value of the contract
 SYMBOLS = "#*$%&|<>"  # fixed value of the contract
 CLASSES = ["lower", "upper", "letter", "digit", "space", "stop", "mark", "other"]
@@ -19,7 +21,7 @@ STOPS = ".,;:!?"
 
 #: Parameters of the method.
 COMMON_WORDS = 40
-MAX_REFERENCE_DOCS = 4000  # labelled documents of good quality that the references are fitted on
+MAX_REFERENCE_DOCS = 4000  # labelled documents of good quality, of a language, that its reference is fitted on
 MIN_REFERENCE_WORDS = 2000  # a language with fewer has no reference: its documents get no verdict
 MIN_WORDS = 50  # shorter documents get no verdict
 CLASS_LIMIT = 0.028
@@ -104,14 +106,23 @@ def expected(kinds: int, n: int) -> float:
 
 
 def fit_references(docs: DataFrame, labels: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", limit: int = MAX_REFERENCE_DOCS) -> dict:
-    """{language: (class counts, [(common word, count)], words)} from at most `limit` documents labelled as of good quality.
+    """{language: (class counts, [(common word, count)], words)} from at most `limit` documents a language, labelled as of good quality.
 
-    The labelled rows are taken in the order of a hash of their ids. What comes to the driver is bounded by `limit` and
-    by the number of languages among them: sums per language and its COMMON_WORDS most frequent words. Documents with
-    a null text or language don't count. Without labelled documents there are no references.
+    Of the labelled documents with a text and a language, each language's are taken from the smallest hash of their ids
+    on, so its reference does not depend on the labels of others. Hashes are taken by levels a 64th of an octave wide,
+    a level whole or not at all. What comes to the driver is bounded by the number of languages: sums per language and
+    its COMMON_WORDS most frequent words. Without labelled documents there are no references.
     """
-    good = labels.where("quality = 1").select(F.col("doc_id").alias("_good")).distinct().orderBy(F.xxhash64("_good"), "_good").limit(limit)
-    chosen = docs.join(F.broadcast(good), docs[id_col] == F.col("_good"), "left_semi").where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
+    good = labels.where("quality = 1").select(F.col("doc_id").alias("_good")).distinct()
+    usable = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
+    there = usable.select(F.col(id_col).alias("_good"), F.col(lang_col).alias("lang")).join(good, "_good", "left_semi")
+    level = F.floor(-64 * F.log2(F.shiftrightunsigned(F.xxhash64("_good"), 11) / 2.0**53 + 2.0**-54))
+    there = materialize(there.withColumn("level", level), "labelled")
+    sums = there.groupBy("lang", "level").agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(W.partitionBy("lang").orderBy(F.desc("level")))
+    levels = sums.withColumn("upto", upto).where(F.col("upto") <= limit).select("lang", "level")
+    ids = materialize(there.join(levels, ["lang", "level"], "left_semi").select("_good").distinct(), "chosen")
+    chosen = usable.join(ids, docs[id_col] == F.col("_good"), "left_semi")
 
     def count(batches):
         import pandas as pd
