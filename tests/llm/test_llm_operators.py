@@ -413,6 +413,21 @@ def test_similar_components_links_by_exact_similarity(spark):
     assert sum(want[k] != k and got[k] == k for k, _ in rows) <= 1
 
 
+def test_similar_components_judge_alike_at_any_size(spark):
+    rows = []
+    for i in range(60):
+        w = words(500 + i, 204).split()[:170]
+        edited = list(w)
+        for k in (20, 50, 80, 110):
+            edited[k] = f"edit{i}.{k}"
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(edited))]
+    assert all(k == v for k, v in brute_components(rows).items())  # 0.78 each
+    for more in (0, 9000):
+        table = spark.createDataFrame(rows + [(1000 + i, f"only {i}") for i in range(more)], "doc_id bigint, text string")
+        got = simhash.similar_components(table).where("doc < 1000 and doc <> component_id").count()
+        assert got == 0
+
+
 def test_references_do_not_depend_on_other_languages(spark):
     docs = [(i, words(i, 20), "rare" if i < 10 else "often") for i in range(400)]
     docs = spark.createDataFrame(docs, "doc_id bigint, text string, lang string")

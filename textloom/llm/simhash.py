@@ -57,7 +57,9 @@ def projection(words: int):
     if words not in _projections:
         bits = np.random.Generator(np.random.PCG64(20_11)).integers(0, 256, CELLS * words * 8, np.uint8)
         signs = np.unpackbits(bits).astype(np.float32).reshape(CELLS, words * 64)
-        _projections[words] = signs * 2 - 1
+        signs *= 2  # in place, as a worker's memory counts
+        signs -= 1
+        _projections[words] = signs
     return _projections[words]
 
 
@@ -313,7 +315,10 @@ def compared_in_blocks(rows: DataFrame, nodes: DataFrame, similarity: float, lim
 
     def bits(column):
         flat = column.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype("<i8", copy=False)
-        return np.unpackbits(flat.view(np.uint8).reshape(len(column), -1), axis=1).astype(np.float32) * 2 - 1
+        signs = np.unpackbits(flat.view(np.uint8).reshape(len(column), -1), axis=1).astype(np.float32)
+        signs *= 2
+        signs -= 1
+        return signs
 
     def compare(table: pa.Table) -> pa.Table:
         node, root, own = (table[c].to_numpy() for c in ("node", "root", "own"))
@@ -355,7 +360,8 @@ def similar_components(
     64 bits can't tell 0.8: pairs of that similarity differ in 4 to 14 of them. So the fingerprint is as wide as
     wide_plan() asks. It only finds candidates: pairs that share a group's bits, and of these the ones whose share of
     differing bits is within three standard errors of what `similarity` gives. A link is made if the exact similarity
-    of the two sets of shingle hashes is `similarity` or more. Equal sets are one node.
+    of the two sets of shingle hashes is `similarity` or more. Equal sets are one node. The size of the table chooses
+    the groups and the bits, so how candidates are searched, but no verdict on a pair.
 
     Candidates come in two rounds, so that a group of near copies makes rows in proportion to its size. First, each
     bucket of one group's bits is compared with its smallest node, and what is linked becomes one component. Then a
