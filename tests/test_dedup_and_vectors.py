@@ -56,8 +56,11 @@ def corpus_rows():
     return rows
 
 
-@pytest.mark.parametrize("threshold", [0.85, 0.6, 1.0])
-def test_fuzzy_against_plain(spark, threshold):
+@pytest.mark.parametrize("threshold, longest, block", [(0.85, 64, 1024), (0.85, 1, 7), (0.6, 2, 16), (1.0, 10**6, 1024), (1.0, 0, 9)])
+def test_fuzzy_against_plain(spark, monkeypatch, threshold, longest, block):
+    """Short postings are joined, long ones compared in blocks: either way, and mixed, the result is the same."""
+    monkeypatch.setattr(dedup, "LIST", longest)
+    monkeypatch.setattr(dedup, "BLOCK", block)
     texts = list(enumerate(corpus_rows()))
     df = spark.createDataFrame([("p", i, t) for i, t in texts], "period string, seq bigint, text string")
     log = {r["removed_seq"]: (r["kept_seq"], r["similarity"]) for r in dedup.fuzzy_matches(df, "seq", threshold=threshold).collect()}

@@ -133,7 +133,7 @@ def test_lexicon_counts_against_re(spark):
     bits = ["сталин", "Сталинград", "сталина", "культ личности", "врагов народа", "ГУЛАГа", "нквд", "нквдэ", "московский процесс", "дело врачей", "берия", "либерия", "арестованы в мае 1938", "1941 год", "ударники", "первая  пятилетка", "и", "тройка", "тройкам"]
     cases = [" ".join(r.choice(bits) for _ in range(12)) for _ in range(60)]
     lex = lexicon.Lexicon()
-    patterns = {c: re.compile("|".join(f"(?:{lexicon.stem_pattern(s, chr(92) + 'b', chr(92) + 'b', '(?!град)')})" for s in v).replace(r"[\p{L}\p{N}_]", r"\w").replace(text.SPACE, r"\s").replace(text.DIGIT, r"\d"), re.I) for c, v in lex.stems.items()}
+    patterns = {c: re.compile("|".join(f"(?:{p})" for p in v), re.I) for c, v in lex.patterns.items()}
     for given, row in zip(cases, score(spark, cases)):
         for c, p in patterns.items():
             assert row[f"n_{c}"] == len(p.findall(given)), (c, given)

@@ -7,6 +7,7 @@ line anchors hold at line feeds only.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -23,9 +24,18 @@ REPAIR_MAX_BREAKS = 20
 REPAIR_MIN_CHARS = 10_000
 
 
+#: The characters of SPACE.
+SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
+def bind(c: Column, body: Callable[[Column], Column]) -> Column:
+    """body(c) with c evaluated once, however often body names it: a column that is named twice is written out twice."""
+    return F.get(F.transform(F.array(c), body), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     """Without white space, in the sense of SPACE, at both ends."""
-    return F.regexp_replace(c, rf"^{SPACE}+|{SPACE}+\z", "")
+    return F.trim(c, F.lit(SPACES))
 
 
 def strip_lines(c: Column) -> Column:
@@ -80,10 +90,14 @@ def join_lines(c: Column) -> Column:
 
 def repair_breaks(c: Column) -> Column:
     """For long texts with hardly any line breaks: a paragraph break after a full stop before a capital, and before sections."""
-    broken = F.regexp_replace(c, r"(?<![тТгГ])\.([А-ЯЁA-Z])", ".\n\n$1")
-    broken = F.regexp_replace(broken, rf"§{SPACE}*({DIGIT}+)", "\n\n§ $1")
-    few = (F.size(F.split(c, "\n", -1)) - 1) < REPAIR_MAX_BREAKS
-    return F.when(few & (F.length(c) > REPAIR_MIN_CHARS), broken).otherwise(c)
+
+    def repaired(text: Column) -> Column:
+        broken = F.regexp_replace(text, r"(?<![тТгГ])\.([А-ЯЁA-Z])", ".\n\n$1")
+        broken = F.regexp_replace(broken, rf"§{SPACE}*({DIGIT}+)", "\n\n§ $1")
+        few = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) < REPAIR_MAX_BREAKS
+        return F.when(few & (F.length(text) > REPAIR_MIN_CHARS), broken).otherwise(text)
+
+    return bind(c, repaired)
 
 
 #: The steps of normalization, in their order.
@@ -140,8 +154,8 @@ def ngrams(c: Column, n: int = 3) -> Column:
         cut = F.transform(F.sequence(F.lit(0), F.size(chars) - n), lambda i: F.array_join(F.slice(chars, i + one, F.lit(n)), ""))
         return F.when(F.size(chars) >= n, F.array_distinct(cut)).otherwise(F.array(F.array_join(chars, "")))
 
-    # The one-element array binds the characters once; cutting them is linear in the text's length.
-    found = F.get(F.transform(F.array(F.split(c, "")), grams), F.lit(0))
+    # Cutting the bound characters is linear in the text's length.
+    found = bind(F.split(c, ""), grams)
     return F.when(F.length(c) > 0, found).otherwise(F.array().cast("array<string>"))
 
 

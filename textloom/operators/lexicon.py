@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -9,26 +10,67 @@ from pyspark.sql import functions as F
 
 from textloom.functions.text import DIGIT, SPACE, WORD, fold_yo
 
-#: Stems by category. ^ begins a word, $ ends it, * is any word characters, + at least one, _ white space,
-#: ~ white space or none, (a/b) a choice, ! not the city's name, # a digit, < up to two words more.
-STEMS = {
-    "stalin": ["^сталин!*", "^иосиф_виссарионович", "^джугашвили"],
-    "weak_stalin": ["^коба$"],
-    "cult": ["культ_личности", "вождь_народ(а/ов)?", "великий_вождь", "отец_народ(а/ов)?", "гениальн*_вождь", "мудр*_(руководств/вождь/сталин)"],
+# The patterns of each category, the weights, the categories that open the gate for years, and the years.
+PATTERNS = {
+    "stalin": [r"\bсталин(?!град)\w*", r"\bиосиф\s+виссарионович", r"\bджугашвили"],
+    "weak_stalin": [r"\bкоба\b"],
+    "cult": [
+        r"культ\s+личности",
+        r"вождь\s+народ(?:а|ов)?",
+        r"великий\s+вождь",
+        r"отец\s+народ(?:а|ов)?",
+        r"гениальн\w*\s+вождь",
+        r"мудр\w*\s+(?:руководств|вождь|сталин)",
+    ],
     "repression": [
-        "^репресс*", "^гулаг*", "^нквд$", "^огпу$", "^нкгб$", "^большой_террор", "^массов+_террор", "^политическ+_террор",
-        "^чистк(а/и)$", "^раскулачива*", "^враг*_народа", "^тройк(а/и)$", "^лагер(я/ь/е/й)*", "^ссылк*", "^депортац*",
-        "^выселен*", "^расстрел*", "^арест*<~(1930/1937/1938/194#)",
+        r"\bрепресс\w*",
+        r"\bгулаг\w*",
+        r"\bнквд\b",
+        r"\bогпу\b",
+        r"\bнкгб\b",
+        r"\bбольшой\s+террор",
+        r"\bмассов\w+\s+террор",
+        r"\bполитическ\w+\s+террор",
+        r"\bчистк[аи]\b",
+        r"\bраскулачива\w*",
+        r"\bвраг\w*\s+народа",
+        r"\bтройк[аи]\b",
+        r"\bлагер[яьей]\w*",
+        r"\bссылк\w*",
+        r"\bдепортац\w*",
+        r"\bвыселен\w*",
+        r"\bрасстрел\w*",
+        r"\bарест\w*(?:\s+\w+){0,2}\s*(?:1930|1937|1938|194\d)",
     ],
     "events": [
-        "коллективизаци(я/и)", "индустриализаци(я/и)", "пятилет*~план", "первая_пятилетка", "вторая_пятилетка", "стахановск*",
-        "ударни(к/ч)*", "социалистическ+_соревнован*", "голод*~(1932/1933/голодомор)", "голодомор",
+        r"коллективизаци[яи]",
+        r"индустриализаци[яи]",
+        r"пятилет\w*\s*план",
+        r"первая\s+пятилетка",
+        r"вторая\s+пятилетка",
+        r"стахановск\w*",
+        r"ударни[кч]\w*",
+        r"социалистическ\w+\s+соревнован\w*",
+        r"голод\w*\s*(?:1932|1933|голодомор)",
+        r"голодомор",
     ],
     "trials": [
-        "московск+_процесс", "показательн+_процесс", "дело_врач*", "ленинградское_дело", "антипартийн+_групп*", "троцкист*",
-        "зиновьев*", "каменев*", "бухарин*", "рыков*", "тухачевск*", "ежов*", "берия", "ягода",
+        r"московск\w+\s+процесс",
+        r"показательн\w+\s+процесс",
+        r"дело\s+врач\w*",
+        r"ленинградское\s+дело",
+        r"антипартийн\w+\s+групп\w*",
+        r"троцкист\w*",
+        r"зиновьев\w*",
+        r"каменев\w*",
+        r"бухарин\w*",
+        r"рыков\w*",
+        r"тухачевск\w*",
+        r"ежов\w*",
+        r"берия",
+        r"ягода",
     ],
-}
+}
 WEIGHTS = {"stalin": 3, "weak_stalin": 1, "cult": 2, "repression": 2, "trials": 1, "events": 1}
 STRONG = ["stalin", "cult", "repression", "trials", "events"]
 RANKED = ["repression", "cult", "events", "trials"]
@@ -37,20 +79,17 @@ YEAR_CAP = 3
 MIN_SCORE = 2
 
 
-def stem_pattern(stem: str, start: str, end: str, city: str) -> str:
-    """The regular expression of a stem; start and end stand for word borders, city for what mustn't follow."""
-    signs = {
-        "^": start, "$": end, "!": city, "*": f"{WORD}*", "+": f"{WORD}+", "_": f"{SPACE}+", "~": f"{SPACE}*",
-        "#": DIGIT, "<": f"(?:{SPACE}+{WORD}+){{0,2}}", "(": "(?:", "/": "|",
-    }
-    return "".join(signs.get(c, c) for c in stem)
+def spelled_out(pattern: str) -> str:
+    r"""The pattern with \b, \w, \s and \d written as the classes of textloom.functions.text, as Java's own differ."""
+    borders = re.sub(r"^\\b", lambda _: f"(?<!{WORD})", re.sub(r"\\b$", lambda _: f"(?!{WORD})", pattern))
+    return borders.replace(r"\w", WORD).replace(r"\s", SPACE).replace(r"\d", DIGIT)
 
 
 @dataclass(frozen=True)
 class Lexicon:
     """Injectable: any categories may be replaced. Strong categories open the gate for years; the first one is enough alone."""
 
-    stems: dict[str, list[str]] = field(default_factory=lambda: STEMS)
+    patterns: dict[str, list[str]] = field(default_factory=lambda: PATTERNS)
     weights: dict[str, int] = field(default_factory=lambda: WEIGHTS)
     strong: list[str] = field(default_factory=lambda: STRONG)
     ranked: list[str] = field(default_factory=lambda: RANKED)
@@ -58,8 +97,12 @@ class Lexicon:
     direct: str = "stalin"
 
     def pattern(self, category: str) -> str:
-        stems = [stem_pattern(s, f"(?<!{WORD})", f"(?!{WORD})", "(?!град)") for s in self.stems[category]]
-        return "(?iu)" + "|".join(f"(?:{s})" for s in stems)
+        """All patterns of a category; a look ahead at the first letters, where all begin with one, spares most places."""
+        first = {p.removeprefix(r"\b")[0] for p in self.patterns[category]}
+        if all(c.islower() for c in first) and not any(re.match(r"(?:\\b)?\w[?*{]", p) or re.search(r"^[^(\[]*\|", p) for p in self.patterns[category]):
+            same = "".join(c for c in map(chr, range(0x10000)) if c.upper().lower() in first or c.lower() in first)
+            return rf"(?=(?-iu:[{same}]))(?iu)" + "|".join(f"(?:{spelled_out(p)})" for p in self.patterns[category])
+        return "(?iu)" + "|".join(f"(?:{spelled_out(p)})" for p in self.patterns[category])
 
     @property
     def key_year_pattern(self) -> str:
@@ -83,7 +126,7 @@ def score_segments(segs: DataFrame, lexicon: Lexicon | None = None, text_col: st
     lex = lexicon or Lexicon()
     folded = "_folded"
     out = segs.withColumn(folded, fold_yo(F.col(text_col)))
-    out = out.withColumns({f"n_{c}": F.regexp_count(folded, F.lit(lex.pattern(c))) for c in lex.stems} | {"key_years": distinct_matches(F.col(folded), lex.key_year_pattern)})
+    out = out.withColumns({f"n_{c}": F.regexp_count(folded, F.lit(lex.pattern(c))) for c in lex.patterns} | {"key_years": distinct_matches(F.col(folded), lex.key_year_pattern)})
     if all_years:
         out = out.withColumn("all_years", distinct_matches(F.col(folded), ANY_YEAR))
 
@@ -91,7 +134,7 @@ def score_segments(segs: DataFrame, lexicon: Lexicon | None = None, text_col: st
         return F.col(f"n_{c}")
 
     strong = F.greatest(*(n(c) for c in lex.strong)) > 0
-    out = out.drop(folded).withColumns({"n_key_years": F.size("key_years"), "strong": strong, "thematic": F.greatest(*(n(c) for c in lex.stems)) > 0})
+    out = out.drop(folded).withColumns({"n_key_years": F.size("key_years"), "strong": strong, "thematic": F.greatest(*(n(c) for c in lex.patterns)) > 0})
     score = sum((n(c) * w for c, w in lex.weights.items()), F.lit(0)) + F.when(F.col("strong"), F.least("n_key_years", F.lit(YEAR_CAP))).otherwise(0)
     ranks = F.array(*(F.struct((n(c) * lex.weights[c]).alias("weight"), n(c).alias("count"), F.lit(c).alias("name")) for c in lex.ranked))
     top = F.filter(ranks, lambda r: r["weight"] == F.array_max(F.transform(ranks, lambda x: x["weight"])))
@@ -107,7 +150,7 @@ def retained(scored: DataFrame) -> DataFrame:
 
 def rejected(scored: DataFrame, lexicon: Lexicon | None = None) -> DataFrame:
     """The rest, with matched_categories in alphabetical order."""
-    names = sorted((lexicon or Lexicon()).stems)
+    names = sorted((lexicon or Lexicon()).patterns)
     matched = F.array_compact(F.array(*(F.when(F.col(f"n_{c}") > 0, F.lit(c)) for c in names)))
     return scored.where("reason is null").withColumn("matched_categories", matched)
 
@@ -126,7 +169,7 @@ def date_only(scored: DataFrame, min_score: int = MIN_SCORE) -> DataFrame:
 
 def category_stats(scored: DataFrame, lexicon: Lexicon | None = None) -> DataFrame:
     """For retained segments: how many have each category, and its matches in all; categories without any show with 0."""
-    names = list((lexicon or Lexicon()).stems)
+    names = list((lexicon or Lexicon()).patterns)
     sums = retained(scored).agg(*(F.count_if(F.col(f"n_{c}") > 0).alias(f"s_{c}") for c in names), *(F.coalesce(F.sum(f"n_{c}"), F.lit(0)).alias(f"m_{c}") for c in names))
     return sums.select(F.inline(F.array(*(F.struct(F.lit(c).alias("category"), F.col(f"s_{c}").alias("n_segments"), F.col(f"m_{c}").alias("n_matches")) for c in names))))
 

@@ -30,11 +30,15 @@ def paragraphs(c: Column) -> Column:
     return F.filter(blocks, lambda p: (p != "") & (count_words(p) >= MIN_PARAGRAPH_WORDS))
 
 
+#: Any of them: most texts of some languages have none and are left alone after one search.
+ANY_ABBREVIATION = "(?iu)" + "|".join(a.replace(".", r"\.") for a in ABBREVIATIONS)
+
+
 def guard_abbreviations(c: Column) -> Column:
     def guard(text: Column, abbreviation: str) -> Column:
         return F.regexp_replace(text, "(?iu)" + abbreviation.replace(".", r"\."), abbreviation.replace(".", GUARD))
 
-    return reduce(guard, ABBREVIATIONS, c)
+    return F.when(c.rlike(ANY_ABBREVIATION), reduce(guard, ABBREVIATIONS, c)).otherwise(c)
 
 
 def sentences(c: Column) -> Column:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from textloom.operators import segment as S
-from textloom.operators.lexicon import KEY_YEARS, RANKED, STEMS, STRONG, WEIGHTS, stem_pattern
 from textloom.plans.dirty import DIRTY
 
 WS = r"[\t-\r\x1c-\x20\x{85}\p{Z}]"
@@ -11,6 +9,77 @@ WORD = r"[\p{L}\p{N}_]"
 ND = r"\p{Nd}"
 L = "[A-Za-zА-Яа-яЁё]"
 
+# Fixed values, held apart from the engine's own so that a slip in either shows. The first pattern here also counts
+# the city's name, whose matches count() takes off again.
+PATTERNS = {
+    "stalin": [r"\bсталин\w*", r"\bиосиф\s+виссарионович", r"\bджугашвили"],
+    "weak_stalin": [r"\bкоба\b"],
+    "cult": [
+        r"культ\s+личности",
+        r"вождь\s+народ(?:а|ов)?",
+        r"великий\s+вождь",
+        r"отец\s+народ(?:а|ов)?",
+        r"гениальн\w*\s+вождь",
+        r"мудр\w*\s+(?:руководств|вождь|сталин)",
+    ],
+    "repression": [
+        r"\bрепресс\w*",
+        r"\bгулаг\w*",
+        r"\bнквд\b",
+        r"\bогпу\b",
+        r"\bнкгб\b",
+        r"\bбольшой\s+террор",
+        r"\bмассов\w+\s+террор",
+        r"\bполитическ\w+\s+террор",
+        r"\bчистк[аи]\b",
+        r"\bраскулачива\w*",
+        r"\bвраг\w*\s+народа",
+        r"\bтройк[аи]\b",
+        r"\bлагер[яьей]\w*",
+        r"\bссылк\w*",
+        r"\bдепортац\w*",
+        r"\bвыселен\w*",
+        r"\bрасстрел\w*",
+        r"\bарест\w*(?:\s+\w+){0,2}\s*(?:1930|1937|1938|194\d)",
+    ],
+    "events": [
+        r"коллективизаци[яи]",
+        r"индустриализаци[яи]",
+        r"пятилет\w*\s*план",
+        r"первая\s+пятилетка",
+        r"вторая\s+пятилетка",
+        r"стахановск\w*",
+        r"ударни[кч]\w*",
+        r"социалистическ\w+\s+соревнован\w*",
+        r"голод\w*\s*(?:1932|1933|голодомор)",
+        r"голодомор",
+    ],
+    "trials": [
+        r"московск\w+\s+процесс",
+        r"показательн\w+\s+процесс",
+        r"дело\s+врач\w*",
+        r"ленинградское\s+дело",
+        r"антипартийн\w+\s+групп\w*",
+        r"троцкист\w*",
+        r"зиновьев\w*",
+        r"каменев\w*",
+        r"бухарин\w*",
+        r"рыков\w*",
+        r"тухачевск\w*",
+        r"ежов\w*",
+        r"берия",
+        r"ягода",
+    ],
+}
+WEIGHTS = {"stalin": 3, "weak_stalin": 1, "cult": 2, "repression": 2, "trials": 1, "events": 1}
+STRONG = ["stalin", "cult", "repression", "events", "trials"]
+RANKED = ["repression", "cult", "events", "trials"]
+KEY_YEARS = "1929 1930 1932 1933 1934 1936 1937 1938 1939 1946 1948 1949 1952 1953".split()
+ABBREVIATIONS = (
+    "млрд. проч. напр. акад. проф. т.д. т.п. т.е. т.н. т.к. тыс. млн. руб. чел. гг. вв. др. см. ср. ок. им. г. в."
+).split()
+MAX_CHARS, MAX_SENTENCES, MIN_SEGMENT_WORDS, MIN_PARAGRAPH_WORDS = 1500, 5, 15, 8
+
 
 def sub(x: str, pattern: str, to: str) -> str:
     return f"regexp_replace({x}, '{pattern}', {to}, 'g')"
@@ -58,14 +127,14 @@ def form(x: str) -> str:
 
 
 def sentence_list(x: str) -> str:
-    for a in S.ABBREVIATIONS:
+    for a in ABBREVIATIONS:
         x = f"regexp_replace({x}, '(?i){a.replace('.', r'\.')}', '{a.rstrip('.').replace('.', '`')}`', 'g')".replace("`", "'||chr(3)||'")
     x = sub(x, rf'([.!?][»")\]]?){WS}+', r"'\1'||chr(2)")
     return f"list_filter(list_transform(string_split({x}, chr(2)), lambda s: {strip('replace(s, chr(3), chr(46))')}), lambda s: s <> '')"
 
 
 def paragraph_list(x: str) -> str:
-    return rf"list_filter(list_transform(string_split_regex({x}, '\n{WS}*\n'), lambda p: {strip('p')}), lambda p: p <> '' and {words('p')} >= {S.MIN_PARAGRAPH_WORDS})"
+    return rf"list_filter(list_transform(string_split_regex({x}, '\n{WS}*\n'), lambda p: {strip('p')}), lambda p: p <> '' and {words('p')} >= {MIN_PARAGRAPH_WORDS})"
 
 
 DIRTY_CTE = f"dirty as materialized (select doc_id, lang as period, {DIRTY} as raw from documents)"
@@ -74,17 +143,17 @@ norm as materialized (select doc_id, period, raw, {strip(f'({repaired("x")})')}
 PAR_CTE = f"""{NORM_CTE}, pars as materialized (select doc_id, period, {paragraph_list('text')} as ps from norm),
 par as materialized (select doc_id, period, unnest(ps) as paragraph, unnest(range(len(ps)))::int as paragraph_idx from pars)"""
 SEG_CTE = f"""{PAR_CTE}, sen as materialized (select *, {sentence_list('paragraph')} as ss from par),
-kind as materialized (select *, (length(paragraph) <= {S.MAX_CHARS} and len(ss) <= {S.MAX_SENTENCES}) or len(ss) <= 2 as short from sen),
+kind as materialized (select *, (length(paragraph) <= {MAX_CHARS} and len(ss) <= {MAX_SENTENCES}) or len(ss) <= 2 as short from sen),
 fold as (
   select doc_id, paragraph_idx, list_transform(ss, lambda s: length(s)) as ls, 1 as i, 1 as cnt, length(ss[1]) + 1 as size, 0 as cut from kind where not short
   union all
   select doc_id, paragraph_idx, ls, i + 1, case when fu then 1 else cnt + 1 end, case when fu then ls[i + 1] else size + ls[i + 1] + 1 end, case when fu then 1 else 0 end
-  from (select *, (size + ls[i + 1] > {S.MAX_CHARS} and cnt >= 2) or cnt >= {S.MAX_SENTENCES} as fu from fold where i < len(ls))
+  from (select *, (size + ls[i + 1] > {MAX_CHARS} and cnt >= 2) or cnt >= {MAX_SENTENCES} as fu from fold where i < len(ls))
 ), numbered as (select doc_id, paragraph_idx, i, sum(cut) over (partition by doc_id, paragraph_idx order by i) as g from fold),
 counted_cuts as (select doc_id, paragraph_idx, g, count(*) as n from numbered group by all),
 sized as (select *, max(g) over (partition by doc_id, paragraph_idx) as last from counted_cuts),
 mapped as (
-  select s.doc_id, s.paragraph_idx, s.g, case when s.g = s.last and s.n = 1 and s.g > 0 and p.n < {S.MAX_SENTENCES} then s.g - 1 else s.g end as h
+  select s.doc_id, s.paragraph_idx, s.g, case when s.g = s.last and s.n = 1 and s.g > 0 and p.n < {MAX_SENTENCES} then s.g - 1 else s.g end as h
   from sized s left join sized p on s.doc_id = p.doc_id and s.paragraph_idx = p.paragraph_idx and p.g = s.g - 1
 ), packed as (
   select k.doc_id, k.period, k.paragraph_idx, m.h as segment_idx, string_agg(k.ss[n.i], ' ' order by n.i) as text, count(*) as sentence_count
@@ -92,19 +161,29 @@ mapped as (
 ), every as (
   select doc_id, period, paragraph_idx, 0 as segment_idx, paragraph as text, len(ss) as sentence_count from kind where short
   union all select doc_id, period, paragraph_idx, segment_idx, text, sentence_count from packed
-), seg as materialized (select doc_id, period, paragraph_idx, segment_idx::int as segment_idx, text, length(text) as char_count, {words('text')} as word_count, sentence_count from every where {words('text')} >= {S.MIN_SEGMENT_WORDS})"""
+), seg as materialized (select doc_id, period, paragraph_idx, segment_idx::int as segment_idx, text, length(text) as char_count, {words('text')} as word_count, sentence_count from every where {words('text')} >= {MIN_SEGMENT_WORDS})"""
+
+
+def spelled_out(pattern: str) -> str:
+    """The pattern over doubled non-word characters: a border takes one of them, or the end of the text."""
+    for sign, spelled in ((r"\b", None), (r"\w", WORD), (r"\s", WS), (r"\d", ND)):
+        if spelled is None:
+            pattern = ("(?:^|[^W])" + pattern[2:]) if pattern.startswith(sign) else pattern
+            pattern = (pattern[:-2] + "(?:$|[^W])") if pattern.endswith(sign) else pattern
+        else:
+            pattern = pattern.replace(sign, spelled)
+    return "(?:" + pattern.replace("[^W]", r"[^\p{L}\p{N}_]") + ")"
 
 
 def count(category: str) -> str:
     """Matches of a category in `d`, the folded text with every character that is in no word doubled."""
-    both = "|".join("(?:" + stem_pattern(s, "(?:^|[^W])", "(?:$|[^W])", "").replace("[^W]", r"[^\p{L}\p{N}_]") + ")" for s in STEMS[category])
-    n = f"len(regexp_extract_all(d, '(?i){both}'))"
+    n = f"len(regexp_extract_all(d, '(?i){'|'.join(map(spelled_out, PATTERNS[category]))}'))"
     city = rf" - len(regexp_extract_all(d, '(?i)(?:^|[^\p{{L}}\p{{N}}_])сталинград{WORD}*'))" if category == "stalin" else ""
     return n + city
 
 
 YEARS = rf"list_sort(list_distinct(regexp_extract_all(d, '(?:^|[^\p{{Nd}}])({'|'.join(KEY_YEARS)})(?:[^\p{{Nd}}]|$)', 1)))"
-_counts = ", ".join(f"{count(c)} as n_{c}" for c in STEMS)
+_counts = ", ".join(f"{count(c)} as n_{c}" for c in PATTERNS)
 _score = " + ".join(f"n_{c} * {w}" for c, w in WEIGHTS.items())
 _best = f"greatest({', '.join(f'n_{c} * {WEIGHTS[c]}' for c in RANKED)})"
 _most = "greatest(" + ", ".join(f"case when n_{c} * {WEIGHTS[c]} = best then n_{c} else -1 end" for c in RANKED) + ")"
@@ -161,13 +240,13 @@ ORACLE: dict[str, str] = {
     "metadata_missing": "select doc_id from documents where doc_id not in (select doc_id from labels)",
     "subcorpora": f"""with m as (select d.lang as period, {tokens('d.text')} as w, case when l.doc_id is null then null when l.quality = 1 and l.toxic = 0 then 'Russie' when l.quality = 1 then 'URSS' else 'c' || l.toxic end as c from documents d left join labels l using (doc_id))
       select period, count(*) as n_docs, sum(w)::bigint as n_words, coalesce(array_to_string(list_sort(list(distinct c) filter (where c is not null)), ', '), '') as countries from m group by period""",
-    "lexicon_counts": f"with recursive {SCORED_CTE} select {KEYS}, {', '.join(f'n_{c}::int as n_{c}' for c in STEMS)}, n_key_years::int as n_key_years, array_to_string(key_years, ',') as years from scored",
+    "lexicon_counts": f"with recursive {SCORED_CTE} select {KEYS}, {', '.join(f'n_{c}::int as n_{c}' for c in PATTERNS)}, n_key_years::int as n_key_years, array_to_string(key_years, ',') as years from scored",
     "lexicon_filter": f"with recursive {SCORED_CTE} select {KEYS}, score::int as score, reason from scored where reason is not null",
-    "lexicon_rejected": f"with recursive {SCORED_CTE} select {KEYS}, score::int as score, concat_ws(',', {', '.join(f'case when n_{c} > 0 then {chr(39)}{c}{chr(39)} end' for c in sorted(STEMS))}) as matched from scored where reason is null",
+    "lexicon_rejected": f"with recursive {SCORED_CTE} select {KEYS}, score::int as score, concat_ws(',', {', '.join(f'case when n_{c} > 0 then {chr(39)}{c}{chr(39)} end' for c in sorted(PATTERNS))}) as matched from scored where reason is null",
     "date_only": f"with recursive {SCORED_CTE} select {KEYS}, least(n_key_years, 3)::int as date_points, least(n_key_years, 3) >= 2 as date_strong, case when n_weak_stalin > 0 then 'date_plus_weak_stalin' else 'date_only_pure' end as date_reason from scored where not strong and n_key_years > 0",
     "filter_retention": f"with recursive {SCORED_CTE} select period, count(*) as n_segments, count(reason) as n_retained, round(count(reason) * 100.0 / count(*), 6) as retention_pct, count(*) filter (where not strong and n_key_years > 0) as n_date_only from scored group by rollup (period)",
     "filter_stats_reason": f"with recursive {SCORED_CTE} select reason, count(*) as n, round(count(*) * 100.0 / sum(count(*)) over (), 6) as pct from scored where reason is not null group by reason",
-    "filter_stats_category": f"with recursive {SCORED_CTE} " + " union all ".join(f"select '{c}' as category, count(*) filter (where n_{c} > 0) as n_segments, coalesce(sum(n_{c}), 0)::bigint as n_matches from scored where reason is not null" for c in STEMS),
+    "filter_stats_category": f"with recursive {SCORED_CTE} " + " union all ".join(f"select '{c}' as category, count(*) filter (where n_{c} > 0) as n_segments, coalesce(sum(n_{c}), 0)::bigint as n_matches from scored where reason is not null" for c in PATTERNS),
     "filter_stats_bucket": f"with recursive {SCORED_CTE} select (score // 5 * 5) || '-' || (score // 5 * 5 + 4) as bucket, count(*) as n from scored where reason is not null group by 1",
     "filter_stats_years": f"with recursive {SCORED_CTE} select year, count(*) as n, k as kept from (select unnest(key_years) as year, reason is not null as k from scored) group by year, k",
     "top_scoring": f"with recursive {SCORED_CTE} select {KEYS}, score::int as score from scored where reason is not null order by score desc, {KEYS} limit 50",

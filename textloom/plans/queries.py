@@ -10,13 +10,13 @@ from pyspark.sql import functions as F
 from textloom.functions import html, text
 from textloom.operators import dedup, encoder, lexicon, metadata, periods, segment, vectors
 from textloom.plans.dirty import DIRTY
-from textloom.session import materialize
+from textloom.session import materialize, spread
 
 KEYS = ["doc_id", "paragraph_idx", "segment_idx"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,7 +125,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "metadata_enrich": lambda s, d: metadata.enrich(table(s, d, "documents").select("doc_id", "lang"), table(s, d, "labels")),
     "metadata_missing": lambda s, d: metadata.missing_metadata(table(s, d, "documents"), table(s, d, "labels")),
     "subcorpora": q_subcorpora,
-    "lexicon_counts": lambda s, d: scored(s, d).select(*KEYS, *(f"n_{c}" for c in lexicon.STEMS), "n_key_years", F.array_join("key_years", ",").alias("years")),
+    "lexicon_counts": lambda s, d: scored(s, d).select(*KEYS, *(f"n_{c}" for c in lexicon.PATTERNS), "n_key_years", F.array_join("key_years", ",").alias("years")),
     "lexicon_filter": lambda s, d: lexicon.retained(scored(s, d)).select(*KEYS, "score", "reason"),
     "lexicon_rejected": lambda s, d: lexicon.rejected(scored(s, d)).select(*KEYS, "score", F.array_join("matched_categories", ",").alias("matched")),
     "date_only": lambda s, d: lexicon.date_only(scored(s, d)).select(*KEYS, "date_points", "date_strong", "date_reason"),

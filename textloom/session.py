@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import getpass
 import os
+import re
 import tempfile
 import uuid
 
@@ -26,10 +27,28 @@ def build_session(app: str = "textloom", cores: str = "*", shuffle_partitions: i
     )
 
 
+#: The usual size of a row group, the least that one task reads.
+ROW_GROUP = 128 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A table of a few small files is dealt over all cores: a row group is read by one task, so one file would keep one core busy.
+
+    Tables with a file for each core, or as many bytes as a row group for each, are left alone and aren't shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if len(df.inputFiles()) >= cores:
+        return df
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df if size >= cores * ROW_GROUP else df.repartition(cores)
+
+
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a local folder where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Only a local master may do without: a local folder stands in (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[[^-]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = os.path.join(tempfile.gettempdir(), f"textloom-{getpass.getuser()}")
         if spark.sparkContext.getCheckpointDir() is None:
             spark.sparkContext.setCheckpointDir(base)
