@@ -66,6 +66,15 @@ def materialize(df: DataFrame, tag: str, partition_by: tuple[str, ...] = ()) ->
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have, for helper columns; names differ without regard to case."""
+    taken = {c.lower() for c in df.columns}
+    name = f"_{name}"
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def remove_scratch(spark: SparkSession) -> None:
     """Delete what materialize() has written for this application; call it when no result is read any more."""
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{scratch_dir(spark)}/{spark.sparkContext.applicationId}")
