@@ -1,0 +1,83 @@
+"""Repeated and null ids, clashing names and empty tables: each operator's defined result."""
+
+import pytest
+
+pytest.importorskip("textloom.llm")
+
+from pyspark.sql import functions as F  # noqa: E402
+
+from textloom.llm import exact_dedup, line_dedup  # noqa: E402
+
+LINE = "This line is long enough to count"
+
+
+def rows_of(df):
+    return sorted((tuple(r) for r in df.collect()), key=repr)
+
+
+def table(spark, rows):
+    return spark.createDataFrame(rows, "doc_id bigint, text string")
+
+
+@pytest.mark.parametrize("batches", [1, 3])
+def test_lines_count_once_a_document(spark, batches):
+    two = [(1, LINE), (1, LINE), (2, LINE)]
+    assert rows_of(line_dedup.drop_repeated_lines(table(spark, two), batches=batches)) == sorted(two)
+    three = [*two, (3, f"own\n{LINE.upper()}"), (None, LINE)]
+    got = rows_of(line_dedup.drop_repeated_lines(table(spark, three), batches=batches))
+    assert got == sorted([(1, ""), (1, ""), (2, ""), (3, f"own\n{LINE.upper()}"), (None, LINE)], key=repr)
+
+
+def test_line_columns_do_not_clash(spark):
+    names = ["doc_id", "text", "_lost_keys", "key", "doc", "keys", "batch", "last", "_again"]
+    rows = [(i, LINE, "a", "b", "c", "d", "e", "f", "g") for i in range(3)]
+    got = line_dedup.drop_repeated_lines(spark.createDataFrame(rows, names))
+    assert got.columns == names and rows_of(got) == [(i, LINE if i == 2 else "", *rows[0][2:]) for i in range(3)]
+
+
+def test_no_exchange_over_older_line_runs(spark):
+    runs = line_dedup.LineRuns(spark)
+    for k in range(3):
+        runs.add(table(spark, [(i, f"{i % 40} {k % 2}") for i in range(k * 100, k * 100 + 100)]).toDF("doc", "key"))
+    with line_dedup.ordered_scans(spark):
+        found = runs.frequent(1)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Scan parquet" in plan
+    older = plan.split("SortMergeJoin")[1].split("Sort [")[0]  # down to the other side, the sums of revisions
+    assert "Scan parquet" in older and "Exchange" not in older and plan.count("Sort [") == 1
+    got = {r["key"]: (r["n"], r["last"]) for r in found.collect()}
+    want = {}
+    for k in range(3):
+        for i in range(k * 100, k * 100 + 100):
+            n, last = want.get(f"{i % 40} {k % 2}", (0, -1))
+            want[f"{i % 40} {k % 2}"] = (n + 1, max(last, i))
+    assert got == want
+    runs.store.close()
+
+
+ROWS = [(5, "a"), (5, "b"), (2, "b"), (None, "z"), (None, "z"), (7, None), (8, ""), (8, "")]
+GROUPS = {
+    "smallest": {("a", 5): (5, 1), ("b", 5): (2, 2), ("b", 2): (2, 2), ("z", None): (None, 2), ("", 7): (7, 3), ("", 8): (7, 3)},
+    "largest": {("a", 5): (5, 1), ("b", 5): (5, 2), ("b", 2): (5, 2), ("z", None): (None, 2), ("", 7): (8, 3), ("", 8): (8, 3)},
+}
+
+
+@pytest.mark.parametrize("keep", ["smallest", "largest"])
+@pytest.mark.parametrize("digest", [exact_dedup.text_digest, lambda t: F.unhex(F.hex(F.pmod(F.crc32(t), F.lit(2))))])
+def test_exact_groups_by_bytes(spark, keep, digest):
+    """A digest that nearly always collides gives the same groups: bytes decide."""
+    import hashlib
+
+    sha = {hashlib.sha256(t.encode()).hexdigest(): t for t in ("a", "b", "z", "")}
+    got = sorted(((sha[r["text_sha256"]], r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.exact_groups(table(spark, ROWS), keep=keep, digest=digest, runs=5).collect()), key=repr)
+    want = [(t or "", i, *GROUPS[keep][t or "", i], i == GROUPS[keep][t or "", i][0]) for i, t in ROWS]
+    assert got == sorted(want, key=repr)
+    stay = {"smallest": [(5, "a"), (2, "b"), (None, "z"), (7, None)], "largest": [(5, "a"), (5, "b"), (None, "z"), (8, "")]}[keep]
+    assert rows_of(exact_dedup.drop_exact_duplicates(table(spark, ROWS), keep=keep, digest=digest)) == sorted(stay, key=repr)
+
+
+def test_exact_columns_do_not_clash(spark):
+    names = ["doc_id", "text", "_row", "digest", "best", "winner", "stays", "run", "size"]
+    rows = [(i, "t", *"abcdefg") for i in range(2)]
+    got = exact_dedup.drop_exact_duplicates(spark.createDataFrame(rows, names))
+    assert got.columns == names and rows_of(got) == [rows[0]]

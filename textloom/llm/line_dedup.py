@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.session import materialize
+from textloom.llm.runs import Runs, ordered_scans
+from textloom.session import materialize, unused
 
 SPACE = "\x20\x09\x0a\x0b\x0c\x0d"  # fixed value of the contract
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -32,47 +32,49 @@ class LineRuns:
 
     A key is born in the run of the first batch that holds it: the batch, summed per key, is merge-anti-joined with
     all runs, and what is left becomes a new run on level 0. What the runs hold already goes to the revisions as a
-    small sum of its own. `fan_in` runs of one level are compacted into one on the next, so there are few runs and
-    each key is rewritten once a level. Births are disjoint, so compaction only merges.
+    small sum of its own. `fan_in` runs of one level are compacted into one on the next by merge joins, so there are few
+    runs and each key is rewritten once a level. Runs lie in hash buckets and are sorted in them: neither an anti-join
+    nor a compaction shuffles or sorts them.
     """
 
-    def __init__(self, fan_in: int = 2):
-        self.fan_in = fan_in
+    def __init__(self, spark, fan_in: int = 2):
+        self.store = Runs(spark, "key")
+        self.spark, self.fan_in = spark, fan_in
         self.levels: list[list[DataFrame]] = [[]]
         self.revisions: list[DataFrame] = []
 
-    def births(self) -> DataFrame | None:
-        runs = [run for level in self.levels for run in level]
-        out = runs[0] if runs else None
-        for run in runs[1:]:
-            out = out.unionByName(run)
-        return out
-
     def add(self, batch: DataFrame) -> None:
         """batch(doc, key): each document's distinct keys; documents of different batches differ."""
         own = batch.groupBy("key").agg(F.count("*").alias("n"), F.max("doc").alias("last"))
-        known = self.births()
-        if known is not None:
-            own = materialize(own, "batch")
-            seen = known.select("key")
-            self.revisions.append(materialize(own.join(seen, "key", "left_semi"), "revisions"))
-            own = own.join(seen, "key", "left_anti")
-        self._push(0, materialize(own.sortWithinPartitions("key"), "run"))
+        known = [run for level in self.levels for run in level]
+        if not known:
+            self._push(0, self.store.write(own, "run"))
+            return
+        own = self.store.write(own, "batch")
+        fresh = own
+        for run in known:
+            fresh = fresh.hint("merge").join(run.select("key"), "key", "left_anti")
+        fresh = self.store.write(fresh, "run")
+        self.revisions.append(self.store.write(own.hint("merge").join(fresh.select("key"), "key", "left_anti"), "revisions"))
+        self._push(0, fresh)
+
+    def _compacted(self, runs: list[DataFrame], tag: str) -> DataFrame:
+        out = runs[0]
+        for run in runs[1:]:  # births are disjoint: each key has one side
+            out = self.store.write(self.store.merged(out, run, [F.coalesce("a_n", "b_n").alias("n"), F.coalesce("a_last", "b_last").alias("last")]), tag)
+        return out
 
     def _push(self, k: int, run: DataFrame) -> None:
         if k == len(self.levels):
             self.levels.append([])
         self.levels[k].append(run)
         if len(self.levels[k]) == self.fan_in:
-            merged = self.levels[k][0]
-            for x in self.levels[k][1:]:
-                merged = merged.unionByName(x)
-            self.levels[k] = []
-            self._push(k + 1, materialize(merged.repartition("key").sortWithinPartitions("key"), f"level{k + 1}"))
+            whole, self.levels[k] = self._compacted(self.levels[k], f"level{k + 1}"), []
+            self._push(k + 1, whole)
 
     def frequent(self, least_docs: int) -> DataFrame:
         """(key, n, last) of the keys found in at least `least_docs` documents."""
-        births = self.births()
+        births = self._compacted([run for level in self.levels for run in level], "births")
         if not self.revisions:
             return births.where(F.col("n") >= least_docs)
         more = self.revisions[0]
@@ -80,37 +82,61 @@ class LineRuns:
             more = more.unionByName(x)
         more = more.groupBy("key").agg(F.sum("n").alias("n2"), F.max("last").alias("last2"))
         total = F.col("n") + F.coalesce("n2", F.lit(0))
-        return births.join(more, "key", "left").select("key", total.alias("n"), F.greatest("last", "last2").alias("last")).where(F.col("n") >= least_docs)
+        both = births.hint("merge").join(more, "key", "left")
+        return both.select("key", total.alias("n"), F.greatest("last", "last2").alias("last")).where(F.col("n") >= least_docs)
 
 
-def frequent_lines(docs: DataFrame, id_col: str, text_col: str, least_chars: int, least_docs: int, batches: int, fan_in: int) -> tuple[DataFrame, DataFrame]:
-    """The ledger (batch, doc, key) of all documents' distinct keys, and the frequent keys by LineRuns."""
+def line_ledger(docs: DataFrame, id_col: str, text_col: str, least_chars: int, batches: int) -> DataFrame:
+    """(batch, doc, key): the distinct keys of each document; rows that repeat an id are one document.
+
+    Ids that repeat are looked for first, by the ids alone: only their rows need a distinct over (doc, key).
+    """
     keys = F.array_compact(F.array_distinct(F.transform(F.split(text_of(docs, text_col), "\n", -1), lambda x: key_hash(x, least_chars))))
-    ledger = docs.select(docs[id_col].cast("bigint").alias("doc"), F.explode(keys).alias("key")).select(
-        F.pmod(F.xxhash64("doc"), F.lit(batches)).cast("int").alias("batch"), "doc", F.unhex("key").alias("key")
-    )
-    ledger = materialize(ledger.where("doc is not null"), "lines", ("batch",))
-    runs = LineRuns(fan_in)
-    for k in range(batches):
-        runs.add(ledger.where(F.col("batch") == k).select("doc", "key"))
-    return ledger, materialize(runs.frequent(least_docs), "frequent")
+    doc = docs[id_col].cast("bigint")
+    repeated = materialize(docs.groupBy(doc.alias("doc")).count().where("count > 1 and doc is not null").select("doc"), "repeated")
+
+    def exploded(rows: DataFrame) -> DataFrame:
+        cells = rows.where(doc.isNotNull()).select(doc.alias("doc"), F.explode(keys).alias("key"))
+        return cells.select(F.pmod(F.xxhash64("doc"), F.lit(batches)).cast("int").alias("batch"), "doc", F.unhex("key").alias("key"))
+
+    if repeated.isEmpty():
+        return materialize(exploded(docs), "lines", ("batch",))
+    again = repeated.withColumnRenamed("doc", unused(docs, "again"))
+    same = doc == again[again.columns[0]]
+    once = exploded(docs.join(again, same, "left_anti"))
+    return materialize(once.unionByName(exploded(docs.join(again, same, "left_semi")).distinct()), "lines", ("batch",))
+
+
+def frequent_lines(docs: DataFrame, id_col: str, text_col: str, least_chars: int, least_docs: int, batches: int, fan_in: int) -> tuple[DataFrame, DataFrame]:
+    """The ledger of all documents' distinct keys, and the frequent keys by LineRuns."""
+    ledger = line_ledger(docs, id_col, text_col, least_chars, batches)
+    runs = LineRuns(docs.sparkSession, fan_in)
+    try:
+        for k in range(batches):
+            runs.add(ledger.where(F.col("batch") == k).select("doc", "key"))
+        with ordered_scans(docs.sparkSession):
+            return ledger, materialize(runs.frequent(least_docs), "frequent")
+    finally:
+        runs.store.close()
 
 
 def mark_lines(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
+    out_col: str = "lost_keys",
     least_chars: int = 20,
     least_docs: int = 3,
     batches: int = 4,
     fan_in: int = 2,
 ) -> DataFrame:
-    """docs with _drop: the hashes (hex) of the keys whose lines this document loses; null where it loses none.
+    """docs with out_col: the hashes (hex) of the keys whose lines this document loses; null where it loses none.
 
     A key is a line without white space at its ends and with A-Z in lower case. Keys of at least least_chars code
     points found in at least least_docs documents lose all their lines except in the document with the largest
-    id. A null text counts as empty: one empty line. Ids must be unique; rows that repeat an id count as one document
-    each in the sums, and rows with a null id neither count nor lose lines. An empty table gives an empty result.
+    id. A null text counts as empty: one empty line. Rows that repeat an id are one document: a key counts once for
+    them, and they all lose or keep it. Rows with a null id neither count nor lose lines. If docs has a column named
+    out_col, it is replaced; no other name is used up. An empty table gives an empty result.
 
     The text is read once for the ledger of hashes and once for the result. A line that a large part of all
     documents hold is summed before it is shuffled; the join that finds its documents has two scanned sides, so
@@ -118,9 +144,10 @@ def mark_lines(
     """
     ledger, frequent = frequent_lines(docs, id_col, text_col, least_chars, least_docs, batches, fan_in)
     lost = ledger.join(frequent, "key").where("doc < last").select("doc", F.hex("key").alias("key"))
-    lost = lost.groupBy("doc").agg(F.collect_set(F.lower("key")).alias("_drop"))  # at most a document's own lines
-    lost = materialize(lost.withColumnRenamed("doc", "_drop_id"), "lost")
-    return docs.join(lost, docs[id_col] == lost["_drop_id"], "left").drop("_drop_id")
+    lost = lost.groupBy("doc").agg(F.collect_set(F.lower("key")).alias("keys"))  # at most a document's own lines
+    lost = materialize(lost, "lost")
+    kept = [docs[c] for c in docs.columns if c.lower() != out_col.lower()]
+    return docs.join(lost, docs[id_col].cast("bigint") == lost["doc"], "left").select(*kept, lost["keys"].alias(out_col))
 
 
 def kept_lines(text: Column, drop: Column, least_chars: int = 20) -> Column:
@@ -131,9 +158,11 @@ def kept_lines(text: Column, drop: Column, least_chars: int = 20) -> Column:
 
 
 def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_chars: int = 20, **options) -> DataFrame:
-    """docs, all columns as they were, with the text of the lines that stay, joined by newlines; see mark_lines()."""
-    marked = mark_lines(docs, id_col, text_col, least_chars=least_chars, **options)
-    text = F.when(F.col("_drop").isNull(), F.col(text_col)).otherwise(F.array_join(kept_lines(F.col(text_col), F.col("_drop"), least_chars), "\n"))
-    return marked.withColumn(text_col, text).drop("_drop")
-
+    """docs, all columns as they were, with the text of the lines that stay, joined by newlines; see mark_lines().
 
+    Texts that lose no line stay as they are, null ones null.
+    """
+    drop = unused(docs, "lost_keys")
+    marked = mark_lines(docs, id_col, text_col, drop, least_chars, **options)
+    left = F.array_join(kept_lines(F.col(text_col), F.col(drop), least_chars), "\n")
+    return marked.withColumn(text_col, F.when(F.col(drop).isNull(), F.col(text_col)).otherwise(left)).drop(drop)

@@ -9,11 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm import chat_format, exact_dedup, line_dedup, packing, quality, secret_scan, sentencepiece_codec, sharding, simhash, token_counts
-from textloom.session import scratch_dir
+from textloom.session import scratch_dir, spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,7 +34,7 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = line_dedup.mark_lines(docs)
     text = F.coalesce("text", F.lit(""))
     lines = F.size(F.split(text, "\n", -1)).cast("bigint")
-    rows = marked.select("doc_id", lines.alias("n_lines"), F.when(F.col("_drop").isNull(), F.array(text)).otherwise(line_dedup.kept_lines(text, F.col("_drop"))).alias("kept"), F.col("_drop").isNull().alias("same"))
+    rows = marked.select("doc_id", lines.alias("n_lines"), F.when(F.col("lost_keys").isNull(), F.array(text)).otherwise(line_dedup.kept_lines(text, F.col("lost_keys"))).alias("kept"), F.col("lost_keys").isNull().alias("same"))
     return rows.select(
         "doc_id",
         "n_lines",
