@@ -293,15 +293,134 @@ def differing(similarity: float) -> float:
     return math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
 
 
-def wide_plan(n: int, similarity: float, recall: float) -> tuple[int, int]:
-    """(bits of a group, number of groups): groups of log2(n) + 3 bits hold few strangers; as many as the recall needs.
+def wide_size(n: int, similarity: float, recall: float) -> tuple[int, int]:
+    """(groups of a word, words): what a fingerprint of n rows needs, by the least estimated cost for even bits.
 
-    Thresholds are 0 in all groups: a group of w bits agrees with chance (1 - differing) ** w, so for a chance
-    `recall` that some group agrees it takes ln(1 - recall) / ln(1 - that) groups.
+    A group of w bits agrees with chance (1 - differing) ** w, so it takes ln(1 - recall) / ln(1 - that) groups; each
+    makes n rows and n * n / 2 ** (w + 1) pairs of strangers. An eighth more groups leave allocate_wide() a choice.
     """
-    width = min(24, max(16, math.ceil(math.log2(max(n, 2))) + 3))
-    agree = (1 - differing(similarity)) ** width
-    return width, math.ceil(math.log(1 - recall) / math.log(1 - agree))
+    options = []
+    for m in (4, 3):  # 16 bits, or 21 and 22
+        w = 64 / m
+        count = math.log(1 - recall) / math.log(1 - (1 - differing(similarity)) ** w)
+        options.append((count * (n + n * n / 2 ** (w + 1)), m, math.ceil(count * 9 / 8 / m)))
+    return min(options)[1:]
+
+
+def wide_bit_counts(rows: DataFrame, words: int) -> tuple[dict[int, list[list[float]]], int]:
+    """For each word, in how many fingerprints of all rows each two of its bits are set; and the number of rows.
+
+    What comes to the driver is bounded by the fingerprint: 2,080 sums a word.
+    """
+    import numpy as np
+
+    upper = np.triu_indices(64)
+
+    def count(batches):
+        import pandas as pd
+
+        total, n = np.zeros((words, 64, 64)), 0
+        for batch in batches:
+            flat = np.stack(batch["fp"].to_list()).astype("<i8")
+            for at in range(0, len(flat), 1024):
+                bits = np.unpackbits(flat[at : at + 1024].view(np.uint8).reshape(-1, words, 8), axis=2, bitorder="little").astype(np.float32)
+                for k in range(words):
+                    total[k] += bits[:, k].T @ bits[:, k]
+            n += len(flat)
+        for k in range(words):
+            yield pd.DataFrame({"word": k, "i": upper[0], "j": upper[1], "n": total[k][upper]})
+        yield pd.DataFrame({"word": [-1], "i": 0, "j": 0, "n": float(n)})
+
+    sums = rows.select("fp").mapInPandas(count, "word int, i int, j int, n double").groupBy("word", "i", "j").agg(F.sum("n").alias("n")).collect()
+    both = {k: [[0.0] * 64 for _ in range(64)] for k in range(words)}
+    n = 0
+    for r in sums:
+        if r["word"] < 0:
+            n = int(r["n"])
+        else:
+            both[r["word"]][r["i"]][r["j"]] = both[r["word"]][r["j"]][r["i"]] = r["n"]
+    return both, n
+
+
+def strangers(group: list[int], both: list[list[float]], n: int, t: int) -> float:
+    """Estimated chance that two rows differ in at most t bits of the group, from the counts of pairs of its bits.
+
+    Bits are taken one by one, each given the one before it: for one bit, two rows agree with chance p * p + q * q; for
+    two, with the sum of the squares of their four joint shares. So bits that go together don't count twice.
+    """
+    def alone(i: int) -> float:
+        p = both[i][i] / max(n, 1)
+        return p * p + (1 - p) * (1 - p)
+
+    def joint(i: int, j: int) -> float:
+        x = both[i][j] / max(n, 1)
+        p, q = both[i][i] / max(n, 1), both[j][j] / max(n, 1)
+        return sum(y * y for y in (x, p - x, q - x, 1 - p - q + x))
+
+    chance = [1.0]
+    for at, b in enumerate(group):
+        agree = min(1.0, joint(group[at - 1], b) / alone(group[at - 1]) if at else alone(b))
+        chance = [(chance[k] if k < len(chance) else 0) * agree + (chance[k - 1] * (1 - agree) if k else 0) for k in range(min(len(chance), t) + 1)]
+    return sum(chance[: t + 1])
+
+
+def alike(size: int, t: int, d: float) -> float:
+    """Chance that a pair whose bits differ with chance d differs in at most t of `size` bits."""
+    return sum(math.comb(size, k) * d**k * (1 - d) ** (size - k) for k in range(t + 1))
+
+
+def allocate_wide(groups: list[tuple[int, list[int]]], costs: list[list[float]], d: float, recall: float, steps: int = 1000) -> list[int]:
+    """Thresholds from -1 (group unused) of the least cost for which a pair with bits differing by chance d meets with chance `recall`.
+
+    costs[g][t] is the estimated cost of group g at threshold t. The chance to be missed is the product over the groups,
+    so its logarithm adds up: dynamic programming over the groups and that sum, in `steps` steps of what is needed.
+    """
+    unit = -math.log(1 - recall) / steps
+    best: list[tuple[float, tuple | None]] = [(0.0, None)] + [(math.inf, None)] * steps
+    for g, (_, bits) in enumerate(groups):
+        gains = [(t, int(-math.log(1 - alike(len(bits), t, d)) / unit), cost) for t, cost in enumerate(costs[g])]
+        step = [(cost, (-1, back)) for cost, back in best]
+        for have, (so_far, back) in enumerate(best):
+            if so_far < math.inf:
+                for t, gain, cost in gains:
+                    to = min(steps, have + gain)
+                    if so_far + cost < step[to][0]:
+                        step[to] = (so_far + cost, (t, back))
+        best = step
+    # Rounding each gain down may leave the goal a little short: then the furthest sum is taken.
+    chosen, back = [], next(b for cost, b in reversed(best) if cost < math.inf)
+    while back is not None:
+        chosen.append(back[0])
+        back = back[1]
+    return chosen[::-1]
+
+
+def wide_plan(rows: DataFrame, m: int, words: int, similarity: float, recall: float) -> list[tuple[int, int, int]]:
+    """(word, mask, threshold) of the groups in use.
+
+    The bits of each word are grouped by their correlation over all rows, and unequal thresholds are allocated by dynamic
+    programming: the cost of a group is its index rows and probes, and the pairs of strangers that strangers() expects.
+    """
+    both, n = wide_bit_counts(rows, words)
+    groups = [(k, bits) for k in range(words) for bits in group_bits(correlation(both[k], n), m)]
+    costs = []
+    for k, bits in groups:
+        keys = [sum(math.comb(len(bits), x) for x in range(t + 1)) for t in (0, 1)]
+        # Both sides lie under all keys within the threshold, so pairs meet up to twice that apart.
+        costs.append([n * keys[t] + n * n / 2 * strangers(bits, both[k], n, 2 * t) for t in (0, 1)])
+    thresholds = allocate_wide(groups, costs, differing(similarity), recall)
+    return [(k, sum(1 << b for b in bits), t) for (k, bits), t in zip(groups, thresholds) if t >= 0]
+
+
+def wide_keys(groups: list[tuple[int, int, int]]) -> Column:
+    """array<struct<part, key>> of the column fp: its bits of each group and all within the group's threshold of them."""
+    def cell(i: int, word: int, mask: int, t: int) -> Column:
+        base = F.get("fp", F.lit(word)).bitwiseAND(F.lit(signed(mask)))
+        if not t:
+            return F.array(F.struct(F.lit(i).alias("part"), base.alias("key")))
+        return F.transform(F.lit(flips(mask, t)).cast("array<bigint>"), lambda x: F.struct(F.lit(i).alias("part"), base.bitwiseXOR(x).alias("key")))
+
+    return F.concat(*(cell(i, *group) for i, group in enumerate(groups)))
 
 
 def compared_in_blocks(rows: DataFrame, nodes: DataFrame, similarity: float, limit: int, block: int) -> DataFrame:
@@ -358,35 +477,28 @@ def similar_components(
     """(doc, component_id) for documents linked by a Jaccard similarity of their sets of shingles of `similarity` or more.
 
     64 bits can't tell 0.8: pairs of that similarity differ in 4 to 14 of them. So the fingerprint is as wide as
-    wide_plan() asks. It only finds candidates: pairs that share a group's bits, and of these the ones whose share of
-    differing bits is within three standard errors of what `similarity` gives. A link is made if the exact similarity
-    of the two sets of shingle hashes is `similarity` or more. Equal sets are one node. The size of the table chooses
-    the groups and the bits, so how candidates are searched, but no verdict on a pair.
+    wide_size() asks, and the pigeonhole principle is used with a chance in place of a certainty: wide_plan() groups
+    correlated bits and allocates thresholds so that a pair of `similarity` meets in some group with chance `recall`.
+    That only finds candidates; of these, the ones whose share of differing bits is within three standard errors of what
+    `similarity` gives are verified: a link is made if the exact similarity of the two sets of shingle hashes is
+    `similarity` or more. Equal sets are one node. The size of the table chooses the groups and the bits, so how
+    candidates are searched, but no verdict on a pair.
 
     Candidates come in two rounds, so that a group of near copies makes rows in proportion to its size. First, each
     bucket of one group's bits is compared with its smallest node, and what is linked becomes one component. Then a
     bucket that still holds several components has its pairs across components compared; pairs within one would
     change nothing. No bucket is left out: those of over `bucket` nodes, or with over CROSS / 2 such pairs a node, are
     compared in blocks of about `block` nodes, which give only the pairs that are near as rows. Texts under `shingle` words are one shingle; null texts
-    count as empty. Ids must be unique; rows with null ids are in no component.
+    count as empty. Rows that repeat an id are each a document of that id: the id may show in several components. Rows with
+    null ids are in no component. An empty table gives an empty result.
     """
-    n = docs.count()
-    width, count = wide_plan(n, similarity, recall)
-    words = -(-count // (64 // width))
-    limit = int(words * 64 * differing(similarity) + 3 * math.sqrt(words * 64 * differing(similarity) * (1 - differing(similarity))))
     known = docs.where(F.col(id_col).isNotNull())
+    m, words = wide_size(known.count(), similarity, recall)
+    limit = int(words * 64 * differing(similarity) + 3 * math.sqrt(words * 64 * differing(similarity) * (1 - differing(similarity))))
     rows = materialize(fingerprints(known, id_col, text_col, shingle, words), "wide")
     nodes = materialize(rows.groupBy("digest", "n_shingles", "fp").agg(F.min("doc").alias("node")), "nodes")
-    per_word = 64 // width
-    cells = F.flatten(
-        F.transform(
-            F.col("fp"),
-            lambda x, i: F.array(
-                *(F.struct((i * per_word + g).alias("part"), F.shiftright(x, g * width).bitwiseAND(F.lit((1 << width) - 1)).cast("int").alias("key")) for g in range(per_word))
-            ),
-        )
-    )
-    index = nodes.select("node", F.explode(F.slice(cells, 1, count)).alias("cell")).select("cell.part", "cell.key", "node")
+    groups = wide_plan(nodes, m, words, similarity, recall)
+    index = nodes.select("node", F.explode(wide_keys(groups)).alias("cell")).select("cell.part", "cell.key", "node")
     shared = index.groupBy("part", "key").agg(F.count("*").alias("size"), F.min("node").alias("first")).where("size > 1")
     shared = materialize(shared, "buckets")
     met = materialize(index.join(shared, ["part", "key"]), "met")
@@ -436,7 +548,10 @@ def similar_components(
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs without those that aren't the smallest id of their component; all columns stay. Rows with null ids stay."""
+    """docs without those that aren't the smallest id of their component; all columns stay. Rows with null ids stay.
+
+    Of rows that repeat an id all go if one does: where a smaller id has a near copy of any of them.
+    """
     placed = similar_components(docs, id_col, text_col, **options)
-    gone = materialize(placed.where("doc <> component_id").select(F.col("doc").alias("_gone")).distinct(), "gone")
-    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+    gone = materialize(placed.where("doc <> component_id").select(F.col("doc").alias("gone")).distinct(), "gone")
+    return docs.join(gone, docs[id_col].cast("bigint") == gone["gone"], "left_anti")
