@@ -24,8 +24,8 @@ COMMON_WORDS = 40
 MAX_REFERENCE_DOCS = 4000  # labelled documents of good quality, of a language, that its reference is fitted on
 MIN_REFERENCE_WORDS = 2000  # a language with fewer has no reference: its documents get no verdict
 MIN_WORDS = 50  # shorter documents get no verdict
-CLASS_LIMIT = 0.028
-WORD_LIMIT = 0.1
+LIMIT = 0.06  # of both divergences together, where no labelled documents of bad quality are there to fit it on
+BINS = 500  # of the histograms that the limit is fitted on, each a thousandth of a bit wide
 
 
 @lru_cache(1)
@@ -105,24 +105,31 @@ def expected(kinds: int, n: int) -> float:
     return (kinds - 1) / (8 * max(n, 1) * math.log(2))
 
 
-def fit_references(docs: DataFrame, labels: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", limit: int = MAX_REFERENCE_DOCS) -> dict:
-    """{language: (class counts, [(common word, count)], words)} from at most `limit` documents a language, labelled as of good quality.
+class References(dict):
+    """{language: (class counts, [(common word, count)], words)}, and the limit of both divergences together."""
+
+    limit: float = LIMIT
+
+
+def fit_references(docs: DataFrame, labels: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", limit: int = MAX_REFERENCE_DOCS) -> References:
+    """References from at most `limit` documents a language labelled as of good quality; the limit also from as many bad ones.
 
     Of the labelled documents with a text and a language, each language's are taken from the smallest hash of their ids
     on, so its reference does not depend on the labels of others. Hashes are taken by levels a 64th of an octave wide,
     a level whole or not at all. What comes to the driver is bounded by the number of languages: sums per language and
-    its COMMON_WORDS most frequent words. Without labelled documents there are no references.
+    its COMMON_WORDS most frequent words, and two histograms. Null labels count as none; rows that repeat an id, or
+    labels that repeat, count each document once a label. Without labelled documents there are no references.
     """
-    good = labels.where("quality = 1").select(F.col("doc_id").alias("_good")).distinct()
-    usable = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
-    there = usable.select(F.col(id_col).alias("_good"), F.col(lang_col).alias("lang")).join(good, "_good", "left_semi")
-    level = F.floor(-64 * F.log2(F.shiftrightunsigned(F.xxhash64("_good"), 11) / 2.0**53 + 2.0**-54))
+    good = labels.where("quality is not null").select(F.col("doc_id").alias("labelled"), (F.col("quality") == 1).alias("good")).distinct()
+    usable = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text is not null and lang is not null")
+    there = usable.select("id", "lang").join(good, F.col("id") == F.col("labelled")).select("id", "lang", "good")
+    level = F.floor(-64 * F.log2(F.shiftrightunsigned(F.xxhash64("id"), 11) / 2.0**53 + 2.0**-54))
     there = materialize(there.withColumn("level", level), "labelled")
-    sums = there.groupBy("lang", "level").agg(F.count("*").alias("n"))
-    upto = F.sum("n").over(W.partitionBy("lang").orderBy(F.desc("level")))
-    levels = sums.withColumn("upto", upto).where(F.col("upto") <= limit).select("lang", "level")
-    ids = materialize(there.join(levels, ["lang", "level"], "left_semi").select("_good").distinct(), "chosen")
-    chosen = usable.join(ids, docs[id_col] == F.col("_good"), "left_semi")
+    sums = there.groupBy("lang", "good", "level").agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(W.partitionBy("lang", "good").orderBy(F.desc("level")))
+    levels = sums.withColumn("upto", upto).where(F.col("upto") <= limit).select("lang", "good", "level")
+    ids = there.join(levels, ["lang", "good", "level"], "left_semi").select("id", "good").distinct()
+    chosen = materialize(usable.join(materialize(ids, "chosen"), "id"), "samples")  # `limit` documents a language and label
 
     def count(batches):
         import pandas as pd
@@ -134,20 +141,53 @@ def fit_references(docs: DataFrame, labels: DataFrame, text_col: str = "text", l
                 rows += [(lang, w, n, False) for w, n in plain_words(WORD.findall(text)).items()]
             yield pd.DataFrame(rows, columns=["lang", "name", "n", "is_class"])
 
-    counted = chosen.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).mapInPandas(count, "lang string, name string, n bigint, is_class boolean")
-    sums = counted.groupBy("lang", "name", "is_class").agg(F.sum("n").alias("n"))
-    place = W.partitionBy("lang", "is_class").orderBy(F.desc("n"), "name")
-    total = F.sum("n").over(W.partitionBy("lang", "is_class"))
-    rows = sums.select("*", F.row_number().over(place).alias("place"), total.alias("total")).where(F.col("place") <= COMMON_WORDS).collect()
-    out: dict = {}
+    counted = chosen.where("good").select("lang", "text").mapInPandas(count, "lang string, name string, n bigint, is_class boolean")
+    sums = materialize(counted.groupBy("lang", "name", "is_class").agg(F.sum("n").alias("n")), "counts")
+    place = W.partitionBy("lang", "is_class").orderBy(F.desc("n"), "name")  # the planner keeps COMMON_WORDS a task before the shuffle
+    rows = sums.withColumn("place", F.row_number().over(place)).where(F.col("place") <= COMMON_WORDS).collect()
+    totals = {r["lang"]: r["n"] for r in sums.where("not is_class").groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+    out = References()
     for lang in {r["lang"] for r in rows}:
         own = [r for r in rows if r["lang"] == lang]
         classes = {r["name"]: r["n"] for r in own if r["is_class"]}
         words = sorted((r for r in own if not r["is_class"]), key=lambda r: r["place"])
-        out[lang] = ([classes.get(c, 0) for c in CLASSES], [(r["name"], r["n"]) for r in words], words[0]["total"] if words else 0)
+        out[lang] = ([classes.get(c, 0) for c in CLASSES], [(r["name"], r["n"]) for r in words], totals.get(lang, 0))
+    out.limit = fit_limit(chosen, out)
     return out
 
 
+def best_limit(good: dict[int, int], bad: dict[int, int]) -> float:
+    """The limit, in bins of a thousandth, of the fewest mistakes among both shares; of equal ones the middle."""
+    if not bad or not good:
+        return LIMIT
+    g, b = sum(good.values()), sum(bad.values())
+    wrong = []
+    for at in range(BINS + 1):  # what lies in a bin of `at` or beyond is rejected
+        lost = sum(n for x, n in good.items() if x >= at) / g
+        kept = sum(n for x, n in bad.items() if x < at) / b
+        wrong.append(round(lost + kept, 12))
+    best = [at for at, x in enumerate(wrong) if x == min(wrong)]
+    return (best[0] + best[-1]) / 2 / 1000
+
+
+def fit_limit(chosen: DataFrame, references: dict) -> float:
+    """best_limit() over chosen(text, lang, good): documents that the base rules fail, or that get no verdict, don't count."""
+    def score(batches):
+        import pandas as pd
+
+        for batch in batches:
+            rows = []
+            for text, lang, good in zip(batch["text"], batch["lang"], batch["good"]):
+                got = assess(text, lang, references)
+                known = references.get(lang)
+                if not got[5] and known and known[2] >= MIN_REFERENCE_WORDS:
+                    rows.append((bool(good), min(BINS, int(1000 * (got[7] + got[8])))))
+            yield pd.DataFrame(rows, columns=["good", "bin"])
+
+    found = chosen.select("text", "lang", "good").mapInPandas(score, "good boolean, bin int").groupBy("good", "bin").count().collect()  # 2 * BINS rows
+    return best_limit(*({r["bin"]: r["count"] for r in found if r["good"] == kind} for kind in (True, False)))
+
+
 def diverges(lang: str | None, classes: list[int], words: Counter, n_words: int, references: dict) -> tuple[float, float, bool]:
     """Both distances, less what chance explains, and whether the document is rejected."""
     known = references.get(lang)
@@ -158,7 +198,7 @@ def diverges(lang: str | None, classes: list[int], words: Counter, n_words: int,
     usual = [n for _, n in known[1]]
     by_word = divergence([*common, n_words - sum(common)], [*usual, known[2] - sum(usual)]) - expected(len(common) + 1, n_words)
     by_class, by_word = max(by_class, 0.0), max(by_word, 0.0)
-    return by_class, by_word, by_class > CLASS_LIMIT or by_word > WORD_LIMIT
+    return by_class, by_word, by_class + by_word > getattr(references, "limit", LIMIT)
 
 
 def assess(text: str | None, lang: str | None, references: dict) -> tuple:
@@ -178,8 +218,8 @@ def assess_documents(docs: DataFrame, references: dict, id_col: str = "doc_id",
     """One row per document: id_col and the columns of SCHEMA.
 
     A document is kept unless the base rules fail it (under 50 words, or over half of its words in repeated windows of
-    three) or its character classes or its common words diverge from its language's reference by more than CLASS_LIMIT
-    or WORD_LIMIT bits above what its length explains. Languages without a reference get no verdict. A null text has no
+    three) or its character classes and its common words diverge from its language's reference by more bits together than
+    the fitted limit, above what its length explains. Languages without a reference get no verdict. A null text has no
     words and fails. Rows are independent: repeated rows and ties change nothing. Other columns of docs are ignored.
     """
     import pyarrow as pa
@@ -201,7 +241,7 @@ NAMES = [x.split()[0] for x in SCHEMA.split(", ")]
 
 
 def keep_good(docs: DataFrame, references: dict, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The documents that are kept, all columns as they were; one narrow pass."""
+    """The documents that are kept, all columns as they were; one narrow pass. Null texts fail the base rules and go."""
     import pyarrow as pa
 
     text_at, lang_at = docs.columns.index(text_col), docs.columns.index(lang_col)
