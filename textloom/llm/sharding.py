@@ -36,6 +36,8 @@ def clockwise(n_shards: int, virtual_nodes: int) -> list[list[int]]:
 def place(loads: list[tuple[int, int, int]], n_shards: int, virtual_nodes: int, slack: float) -> dict[tuple[int, int], int]:
     """The bounded-load walk. loads: (arc, part, bytes); part is -1 for whole arcs. Returns the shard of each.
 
+    A part of an arc that no shard can hold is a key with a place of its own on the ring, and walks clockwise from there.
+
     A shard takes a key only while its load stays within (1 + slack) times the mean; a key that finds its shard full
     goes on clockwise. Large keys come first, so that small ones fill what is left; ties go by place on the ring. A
     key for which no shard has room goes to the least loaded one, so that nothing is lost.
@@ -43,8 +45,7 @@ def place(loads: list[tuple[int, int, int]], n_shards: int, virtual_nodes: int,
     order, cap = clockwise(n_shards, virtual_nodes), (1 + slack) * sum(x[2] for x in loads) / n_shards
     full, out = [0] * n_shards, {}
     for cell, part, size in sorted(loads, key=lambda x: (-x[2], x[0], x[1])):
-        turn = (part + 1) % n_shards  # parts of one heavy arc start at different shards
-        walk = order[cell][turn:] + order[cell][:turn] if part >= 0 else order[cell]
+        walk = order[cell if part < 0 else ring_point(f"arc {cell} part {part}")]
         shard = next((s for s in walk if full[s] + size <= cap), None)
         if shard is None:
             shard = min(range(n_shards), key=lambda s: (full[s], walk.index(s)))
@@ -66,7 +67,7 @@ def shard_documents(
     A key is a text: its hash is its place on the ring, so equal texts share an arc and a shard. Bytes per arc are
     summed over all rows (CELLS sums, a fixed bound), the bounded-load walk places the arcs, and the placement goes
     back to the rows by a join with a table of at most CELLS + HEAVY * PARTS rows. An arc with over 1/HEAVY of all
-    rows or bytes is also counted in PARTS parts by identifier; it stays whole while it fits in half a shard, and
+    rows or bytes is also counted in PARTS parts by identifier; it stays whole while a shard can hold it, and
     beyond that (a text held by a large part of all rows) its parts are keys of their own. Slots count rows in parts
     of arcs, so no window holds a whole hot text.
 
@@ -99,7 +100,7 @@ def shard_documents(
         marks = F.broadcast(spark.createDataFrame([(c,) for c in heavy], "cell int"))
         for r in rows.join(marks, "cell", "left_semi").groupBy("cell", "part").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).collect():
             parts[r["cell"]].append((r["part"], r["bytes"], r["n"]))
-    split = {r["cell"] for r in sums if r["cell"] in parts and r["bytes"] * n_shards * 2 > total}
+    split = {r["cell"] for r in sums if r["cell"] in parts and r["bytes"] * n_shards > (1 + slack) * total}
     loads = [(r["cell"], -1, r["bytes"]) for r in sums if r["cell"] not in split]
     loads += [(c, p, size) for c in split for p, size, _ in parts[c]]
     shards = place(loads, n_shards, virtual_nodes, slack)
