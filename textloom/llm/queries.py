@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm import chat_format, exact_dedup, line_dedup, packing, quality, secret_scan, sentencepiece_codec, sharding, simhash, token_counts
-from textloom.session import scratch_dir, spread
+from textloom.session import materialize, scratch_dir, spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,11 +17,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents as one batch of inserts, committed twice: the second commit must find the first and add nothing."""
+    """All documents in three batches of inserts, one of them offered twice; then every one revised into another group and
+    back, deleted and inserted again. The totals come out of seven signed batches and the snapshots they were folded into.
+    """
     rollup = token_counts.TokenRollup(spark, f"{scratch_dir(spark)}/{spark.sparkContext.applicationId}/rollup-{uuid.uuid4().hex}")
-    counts = token_counts.inserts(token_counts.count_tokens(table(spark, sf_dir, "documents")))
-    rollup.commit("load", counts)
-    rollup.commit("load", counts)
+    counts = materialize(token_counts.count_tokens(table(spark, sf_dir, "documents")), "counts")
+    moved = counts.withColumns({"source": F.lit("moved"), "n_tokens": F.col("n_tokens") + 1})
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(3))
+    for k in (0, 1, 2, 0):
+        rollup.commit(f"load-{k}", token_counts.inserts(counts.where(part == k)))
+    rollup.commit("moved", token_counts.revisions(counts, moved))
+    rollup.commit("back", token_counts.revisions(moved, counts))
+    rollup.commit("deleted", token_counts.deletes(counts))
+    rollup.commit("again", token_counts.inserts(counts))
     return rollup.totals()
 
 

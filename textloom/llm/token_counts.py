@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +18,8 @@ def count_tokens(docs: DataFrame, version: str = "word_bpe_49k", path: str | Non
     """One row per document: doc_id, source, lang, tokenizer_version, n_tokens.
 
     A null or empty text has 0 tokens; null sources and languages stay null and form groups of their own. Repeated
-    rows are counted each; other columns of docs are ignored. A narrow pass, with no shuffle.
+    rows and rows with null ids are counted each; other columns of docs are ignored; an empty table gives no rows. A narrow
+    pass, with no shuffle.
     """
     import pyarrow as pa
 
@@ -48,44 +50,99 @@ def revisions(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 class TokenRollup:
-    """Totals in a folder that all executors share.
+    """Totals in a folder that all executors share, kept up by signed batches.
 
     A commit sums a batch's signed rows per group (summed before the shuffle, so a source with a third of all rows is
-    no burden), writes the sums to a pending folder, and renames that folder to the batch's name. The rename is the
-    commit: a batch that was committed before is left as it is, and a commit that broke off leaves only a pending
-    folder that nothing reads. Totals are the sums of the batches, so batches may come in any order.
+    no burden) into a folder of its own and then renames a small record file, which names that folder, to the batch's
+    name. The rename is the commit: it fails where the record is there already, so of two committers of a batch one
+    wins and the other's sums are deleted, and a commit that broke off leaves only files that nothing reads.
+
+    Every `compact_after` commits the totals are written anew as a snapshot, which names the batches it holds and is
+    committed the same way; reading takes the latest snapshot and the few batches after it. Batches may come in any order.
     """
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, compact_after: int = 4):
+        self.spark, self.root, self.compact_after = spark, root.rstrip("/"), compact_after
         self._jvm = spark._jvm.org.apache.hadoop.fs
         self._fs = self._jvm.Path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
 
     def _path(self, *parts: str):
         return self._jvm.Path("/".join((self.root, *parts)))
 
+    def _names(self, folder: str) -> list[str]:
+        there = self._fs.exists(self._path(folder))
+        return sorted(f.getPath().getName() for f in self._fs.listStatus(self._path(folder))) if there else []
+
+    def _record(self, folder: str, name: str) -> dict:
+        stream = self._fs.open(self._path(folder, name))
+        try:
+            return json.loads(bytes(stream.readAllBytes()).decode())
+        finally:
+            stream.close()
+
+    def _publish(self, folder: str, name: str, record: dict) -> bool:
+        """Puts a whole record under a name that is free, or nothing."""
+        pending = self._path("pending", uuid.uuid4().hex)
+        stream = self._fs.create(pending)
+        stream.write(json.dumps(record).encode())
+        stream.close()
+        self._fs.mkdirs(self._path(folder))
+        if not self._fs.exists(self._path(folder, name)) and self._fs.rename(pending, self._path(folder, name)):
+            return True
+        self._fs.delete(pending, False)
+        return False
+
+    def _write(self, rows: DataFrame) -> str:
+        data = f"data/{uuid.uuid4().hex}"
+        rows.write.parquet(f"{self.root}/{data}")
+        return data
+
     def committed(self, batch: str) -> bool:
         return self._fs.exists(self._path("batches", batch))
 
     def commit(self, batch: str, deltas: DataFrame) -> bool:
-        """False, and nothing computed, if the batch is there already."""
+        """False, and nothing computed, if the batch is there already. A batch without rows is committed like any other."""
         if not batch or not all(c.isalnum() or c in "-_" for c in batch):
             raise ValueError(f"a batch is named by letters, digits, - and _, not {batch!r}")
         if self.committed(batch):
             return False
-        pending = self._path("pending", f"{batch}-{uuid.uuid4().hex}")
-        sums = deltas.groupBy(*GROUP).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
-        sums.write.parquet(pending.toString())
-        self._fs.mkdirs(self._path("batches"))
-        if self.committed(batch) or not self._fs.rename(pending, self._path("batches", batch)):
-            self._fs.delete(pending, True)
+        data = self._write(summed(deltas))
+        if not self._publish("batches", batch, {"data": data}):
+            self._fs.delete(self._path(data), True)
             return False
+        if len(self._names("batches")) - len(self._snapshot()["batches"]) >= self.compact_after:
+            self.compact()
         return True
 
+    def _snapshot(self) -> dict:
+        names = self._names("snapshots")
+        return {"number": int(names[-1]), **self._record("snapshots", names[-1])} if names else {"number": 0, "data": None, "batches": []}
+
+    def _state(self) -> tuple[dict, list[str], DataFrame | None]:
+        last = self._snapshot()
+        held = set(last["batches"])
+        new = [b for b in self._names("batches") if b not in held]
+        folders = [x for x in (last["data"], *(self._record("batches", b)["data"] for b in new)) if x]
+        rows = self.spark.read.schema(SCHEMA).parquet(*(f"{self.root}/{x}" for x in folders)) if folders else None
+        return last, new, rows
+
+    def compact(self) -> bool:
+        """The totals as a snapshot; False if there is nothing new or another one was quicker."""
+        last, new, rows = self._state()
+        if not new:
+            return False
+        data = self._write(summed(rows))
+        if self._publish("snapshots", f"{last['number'] + 1:09d}", {"data": data, "batches": [*last["batches"], *new]}):
+            return True
+        self._fs.delete(self._path(data), True)
+        return False
+
     def totals(self) -> DataFrame:
-        """One row per group with documents or tokens left."""
-        if not self._fs.exists(self._path("batches")):
-            return self.spark.createDataFrame([], SCHEMA)
-        rows = self.spark.read.schema(SCHEMA).parquet(f"{self.root}/batches/*")
-        sums = rows.groupBy(*GROUP).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
-        return sums.where("n_docs <> 0 or n_tokens <> 0")
+        """One row per group with documents or tokens left; none before the first commit."""
+        rows = self._state()[2]
+        return self.spark.createDataFrame([], SCHEMA) if rows is None else summed(rows)
+
+
+def summed(rows: DataFrame) -> DataFrame:
+    sums = rows.groupBy(*GROUP).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
+    return sums.where("n_docs <> 0 or n_tokens <> 0")
