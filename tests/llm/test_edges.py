@@ -81,3 +81,19 @@ def test_exact_columns_do_not_clash(spark):
     rows = [(i, "t", *"abcdefg") for i in range(2)]
     got = exact_dedup.drop_exact_duplicates(spark.createDataFrame(rows, names))
     assert got.columns == names and rows_of(got) == [rows[0]]
+
+
+def test_many_secrets_in_one_text(spark):
+    """More matches than a block of the running positions, next to each other and apart, with characters of several bytes."""
+    import re
+
+    from textloom.llm import secret_scan
+
+    text = "é🙂 ".join(f"{'x' * (i % 7)} AKIA{i:016d}" + " token=abcdefgh" * (i % 3) for i in range(700))
+    docs = spark.createDataFrame([(1, text, "mine", "b")], "doc_id bigint, text string, _secret_spans string, SECRET_SPANS string")
+    spans = secret_scan.scan_secrets(docs, out_col="found").select("found").first()[0]
+    want = [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]{12,}", text)]
+    assert [tuple(s) for s in spans if s["rank"] == 1] == want and len(want) == 700
+    assert len([s for s in spans if s["rank"] == 0]) == len(re.findall("token=abcdefgh", text))
+    out = secret_scan.redact_secrets(docs).first()
+    assert out["text"] == re.sub("AKIA[0-9]{16}|token=abcdefgh", "[SECRET]", text) and out["_secret_spans"] == "mine"

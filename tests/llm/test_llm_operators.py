@@ -111,8 +111,7 @@ def test_secret_spans_against_re(docs, empty):
         want += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 16]
         want += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 32]
         for m in re.finditer(secret_scan.CANDIDATE, t):
-            varied = re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0]) or re.search("[a-z]", m[0]) and re.search("[A-Z]", m[0])
-            if varied and secret_scan.log_ratio(m[0], model) > 0.45:
+            if secret_scan.log_ratio(m[0], model) > 0.45:
                 want.append((m.start(), 3, m.end()))
         assert [tuple(s) for s in got[i * 3]["key"]] == sorted(want), t[:60]
     assert got[42]["key"] and got[45]["key"]
@@ -121,7 +120,7 @@ def test_secret_spans_against_re(docs, empty):
 
 def test_redaction(docs):
     got = by_id(secret_scan.redact_secrets(docs))
-    assert got[42]["text"] == "[SECRET] and [SECRET] end [SECRET]" or "hunter22" not in got[42]["text"]
+    assert got[42]["text"] == "[SECRET]\" and [SECRET] end [SECRET]"
     assert "AKIA" not in got[42]["text"] and got[0]["text"] is None and got[18]["text"] == texts()[6]
     assert "A1b2C3d4E5f6" not in got[45]["text"] and "🙂 passwd:x" in got[45]["text"]
 
@@ -248,7 +247,8 @@ def test_differencing_is_near_equal():
     windows = packing.windows_of(sizes)
     assert all(sum(sizes[i] for i in g) <= 4096 for g in windows) and len(windows) * 4096 < 1.03 * sum(sizes)
     assert packing.differencing([], 2) == [[], []] and packing.windows_of([]) == []
-    assert packing.differencing([8, 7, 6, 5, 4], 2) in ([[0, 3], [1, 2, 4]], [[1, 2, 4], [0, 3]]) or True
+    sums = sorted(sum([8, 7, 6, 5, 4][i] for i in g) for g in packing.differencing([8, 7, 6, 5, 4], 2))
+    assert sums == [14, 16]  # the known result of the method; the best one is 15 and 15
 
 
 def test_token_rollup(spark, docs, empty, tmp_path):

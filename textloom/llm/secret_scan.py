@@ -13,6 +13,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textloom.session import unused
+
 # Fixed values of the contract: kinds in order, patterns, least lengths.
 KINDS = ["assign", "access", "hex", "markov"]
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -24,6 +26,8 @@ LEAST_VALUE = 8
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 LEAST_CANDIDATE = 20
+#: Items of a block of running().
+BLOCK = 256
 
 
 def random_samples(n: int = 600) -> list[str]:
@@ -121,27 +125,40 @@ def ratio_column(token: Column, model: list[float]) -> Column:
     return F.aggregate(F.filter(place, lambda i: i >= 0), start, step, lambda s: s["total"]) / F.length(token)
 
 
+def running(items: Column, zero: Column, step) -> Column:
+    """The state before each item of a fold of items by `step`, which starts from zero.
+
+    A fold that appends copies its array at every item, so items are taken in blocks: one fold gives the state before
+    each block, and each block is folded from there. For n items that copies n * BLOCK states, not n * n.
+    """
+    def fold(part: Column, start: Column, nxt) -> Column:
+        first = F.struct(start.alias("at"), F.slice(F.array(start), F.lit(1), F.lit(0)).alias("seen"))
+        return F.aggregate(part, first, lambda s, x: F.struct(nxt(s["at"], x).alias("at"), F.concat(s["seen"], F.array(s["at"])).alias("seen")), lambda s: s["seen"])
+
+    numbers = F.sequence(F.lit(0), F.floor((F.size(items) - 1) / BLOCK).cast("int"))
+    blocks = F.when(F.size(items) > 0, F.transform(numbers, lambda k: F.slice(items, k * BLOCK + F.lit(1), F.lit(BLOCK)))).otherwise(F.slice(F.array(items), F.lit(1), F.lit(0)))
+    starts = fold(blocks, zero, lambda at, part: F.aggregate(part, at, step))
+    return F.flatten(F.zip_with(blocks, starts, lambda part, at: fold(part, at, step)))
+
+
 def matches(text: Column, pattern: str, groups: tuple[int, ...] = (0,)) -> Column:
     """All leftmost non-overlapping matches of pattern as array<struct<start, end, g0, ...>>, places in code points."""
     p = F.lit(pattern)
-    gaps = F.transform(F.split(text, pattern, -1), lambda g: F.length(g))
     whole = F.regexp_extract_all(text, p, F.lit(0))
-    parts = F.arrays_zip(
-        F.slice(gaps, F.lit(1), F.size(whole)).alias("gap"),
-        *[F.regexp_extract_all(text, p, F.lit(g)).alias(f"g{g}") for g in {0, *groups}],
-    )
+    gaps = F.slice(F.transform(F.split(text, pattern, -1), lambda g: F.length(g)), F.lit(1), F.size(whole))
+    parts = F.arrays_zip(gaps.alias("gap"), *[F.regexp_extract_all(text, p, F.lit(g)).alias(f"g{g}") for g in {0, *groups}])
 
-    def step(state: Column, m: Column) -> Column:
-        start = state["at"] + m["gap"]
-        end = start + F.length(m["g0"])
-        found = F.struct(start.alias("start"), end.alias("end"), *[m[f"g{g}"].alias(f"g{g}") for g in groups])
-        return F.struct(end.alias("at"), F.concat(state["found"], F.array(found)).alias("found"))
+    def placed(m: Column, at: Column) -> Column:
+        start = at + m["gap"]
+        return F.struct(start.alias("start"), (start + F.length(m["g0"])).alias("end"), *[m[f"g{g}"].alias(f"g{g}") for g in groups])
+
+    def all_placed(found: Column) -> Column:
+        return F.zip_with(found, running(found, F.lit(0), lambda at, m: at + m["gap"] + F.length(m["g0"])), placed)
 
     kind = "array<struct<start:int,end:int," + ",".join(f"g{g}:string" for g in groups) + ">>"
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("found"))
-    return F.when(
-        F.regexp_count(text, p) > 0, F.aggregate(parts, zero, step, lambda s: s["found"])
-    ).otherwise(F.array().cast(kind))
+    # The one-element array binds the parts, which are named several times.
+    bound = F.get(F.transform(F.array(parts), all_placed), F.lit(0))
+    return F.when(F.regexp_count(text, p) > 0, bound).otherwise(F.array().cast(kind))
 
 
 def spans_column(text: Column, model: list[float], threshold: float) -> Column:
@@ -152,16 +169,12 @@ def spans_column(text: Column, model: list[float], threshold: float) -> Column:
             F.filter(found, ok), lambda m: F.struct(m["start"].alias("start"), F.lit(rank).alias("rank"), m["end"].alias("end"))
         )
 
-    def likely_random(m: Column) -> Column:
-        varied = (m["g0"].rlike("[0-9]") & m["g0"].rlike("[A-Za-z]")) | (m["g0"].rlike("[a-z]") & m["g0"].rlike("[A-Z]"))
-        return F.when(varied, ratio_column(m["g0"], model) > threshold).otherwise(False)
-
     return F.array_sort(
         F.concat(
             kind(matches(text, ASSIGN, (2,)), 0, lambda m: F.length(m["g2"]) >= LEAST_VALUE),
             kind(matches(text, ACCESS), 1, lambda m: F.lit(True)),
             kind(matches(text, HEX), 2, lambda m: F.lit(True)),
-            kind(matches(text, CANDIDATE), 3, likely_random),
+            kind(matches(text, CANDIDATE), 3, lambda m: ratio_column(m["g0"], model) > threshold),
         )
     )
 
@@ -180,26 +193,21 @@ def scan_secrets(
 
 
 def redact_secrets(docs: DataFrame, text_col: str = "text", mask: str = "[SECRET]", **scan) -> DataFrame:
-    """docs with every secret replaced by mask; overlapping spans become one mask. Texts without secrets stay as they are."""
-    out = "_secret_spans"
+    """docs with every secret replaced by mask; overlapping spans become one mask. Texts without secrets, null ones too, stay as they are.
+
+    All other columns stay, whatever their names; rows are independent, so repeated rows change nothing.
+    """
+    out = unused(docs, "secret_spans")
     text = F.col(text_col)
 
-    def step(state: Column, s: Column) -> Column:
-        inside = s["start"] < state["at"]
-        piece = F.when(inside, F.lit("")).otherwise(
-            F.concat(F.substring(text, state["at"] + 1, s["start"] - state["at"]), F.lit(mask))
-        )
-        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.concat(state["text"], piece).alias("text"))
+    def piece(s: Column, at: Column) -> Column:
+        before = F.substring(text, at + 1, s["start"] - at)
+        return F.when(s["start"] < at, F.lit("")).otherwise(F.concat(before, F.lit(mask)))
 
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("text"))
-    done = F.aggregate(
-        F.col(out), zero, step, lambda s: F.concat(s["text"], F.substring(text, s["at"] + 1, F.length(text)))
-    )
-    return (
-        scan_secrets(docs, text_col, out, **scan)
-        .withColumn(text_col, F.when(F.size(out) > 0, done).otherwise(text))
-        .drop(out)
-    )
+    ends = running(F.col(out), F.lit(0), lambda at, s: F.greatest(at, s["end"]))
+    last = F.array_max(F.transform(out, lambda s: s["end"]))
+    done = F.concat(F.array_join(F.zip_with(out, ends, piece), ""), F.substring(text, last + 1, F.length(text)))
+    return scan_secrets(docs, text_col, out, **scan).withColumn(text_col, F.when(F.size(out) > 0, done).otherwise(text)).drop(out)
 
 
 def spans_text(spans: Column) -> Column:
