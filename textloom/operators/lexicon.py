@@ -208,6 +208,10 @@ def borderline(scored: DataFrame, keys: list[str], n: int = 50, min_score: int =
     return retained(scored).where(F.col("score") == min_score).orderBy(*keys).limit(n)
 
 
+def sample_order(keys: list[str], seed: int) -> Column:
+    """A seeded hash of the keys as the order of a sample: the same rows for the same seed, on any cluster."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), *(F.col(k).cast("string") for k in keys)))
+
+
 def sample_rows(rows: DataFrame, keys: list[str], n: int = 50, seed: int = 42) -> DataFrame:
-    """n rows in the order of a seeded hash of their keys: the same rows for the same seed, on any cluster."""
-    return rows.orderBy(F.xxhash64(*keys, F.lit(seed)), *keys).limit(n)
+    return rows.orderBy(sample_order(keys, seed), *keys).limit(n)

@@ -19,6 +19,8 @@ _FRAGMENTS = [
     ["'Он сказал: \"Да.\" Потом (не сразу.) ответил проф. Иванов, и в 1953 г. вышла книга; см. также др. работы и т.п. тексты! Так ли это? Да. Нет. Может быть. Конец первого. Конец второго. Троцкисты и ежовщина забыты.'"],
     # Glued years, yo, spaces.
     ["'Ссылка и  депортация в 19370 и 1937г, партийные чистки, тройка и выселение народов ещё в 1949-м году описаны в этой строке текста.'", _NL, "'- 7 -'", _NL, "'Массовый террор и большой террор, арестованы в 1938 и расстреляны, социалистическое соревнование и ударники труда.'"],
+    # Just the least score.
+    ["'Депортация этой семьи описана в одной главе книги, и больше ничего о том времени автор учебника здесь не сообщает читателям.'"],
     ["'Обычный текст без всяких признаков темы, в нём просто достаточно слов, чтобы стать отдельным сегментом после деления.'"],
 ]
 

@@ -219,7 +219,42 @@ best as (select period, b as removed_seq, arg_min(a, (-similarity, a)) as kept_s
 
 ROWS = "rows as (select vec_id as idx, 'p' || (vec_id % 5) as period, case when vec_id % 7 = 0 then -1 else label end as cluster, ((vec_id * 37) % 101) / 100.0::double as probability from embeddings)"
 
+_sample = "md5(concat_ws(':', '42', doc_id, paragraph_idx, segment_idx))"
+
+
+def _section(name: str, which: str, order: str) -> str:
+    return f"select '{name}' as section, row_number() over (order by {order})::int as place, {KEYS}, score::int as score, md5(case when length(text) > 300 then left(text, 300) || '...' else text end) as text_md5 from scored where {which} qualify place <= 50"
+
+
+_sections = " union all ".join(
+    _section(*x)
+    for x in (
+        ("top_scoring", "reason is not null", f"score desc, {KEYS}"),
+        ("borderline", "reason is not null and score = 2", KEYS),
+        ("rejected_date_only", "not strong and n_key_years > 0", KEYS),
+        ("random_retained", "reason is not null", f"{_sample}, {KEYS}"),
+        ("random_rejected", "reason is null", f"{_sample}, {KEYS}"),
+    )
+)
+
+
+def _cut(x: str, n: int) -> str:
+    return f"md5(case when length({x}) > {n} then left({x}, {n}) || '...' else {x} end)"
+
+
 ORACLE: dict[str, str] = {
+    "sample_retained": f"with recursive {SCORED_CTE} select {KEYS}, score::int as score from scored where reason is not null order by {_sample}, {KEYS} limit 50",
+    "quality_report": f"with recursive {SCORED_CTE} {_sections}",
+    "quality_counts": f"with recursive {SCORED_CTE} select count(reason) as total_retained, count(*) - count(reason) as total_rejected, count(*) filter (where reason is not null and score = 2) as borderline_total, count(*) filter (where not strong and n_key_years > 0) as date_only_total from scored",
+    "top_years_rejected": rf"with recursive {SCORED_CTE}, y as (select unnest(list_distinct(regexp_extract_all(regexp_replace(text, '([^\p{{Nd}}])', '\1\1', 'g'), '(?:^|[^\p{{Nd}}])(18\p{{Nd}}{{2}}|19\p{{Nd}}{{2}}|20\p{{Nd}}{{2}})(?:[^\p{{Nd}}]|$)', 1))) as year from scored where reason is null), c as (select year, count(*) as n from y group by year) select row_number() over (order by n desc, year)::int as place, year, n from c qualify place <= 20",
+    "duplicate_samples": f"""with recursive {GRAMS_CTE}, log as (select 'exact' as section, period, doc_id as removed_seq, kept_seq, 1.0::double as similarity from first where doc_id <> kept_seq union all select 'fuzzy', period, removed_seq, kept_seq, round(similarity, 3) from best),
+      every as (from log union all select 'fuzzy_low', * exclude (section) from log where section = 'fuzzy' and similarity < 0.9),
+      placed as (select *, row_number() over (partition by section order by period, removed_seq)::int as place from every),
+      named as (select p.*, r.text as rt, k.text as kt, r.form as rf, k.form as kf from placed p join (select d.doc_id, d.text, f.form from documents d join forms f using (doc_id)) r on p.removed_seq = r.doc_id join (select d.doc_id, d.text, f.form from documents d join forms f using (doc_id)) k on p.kept_seq = k.doc_id)
+      select section, place, period, removed_seq, kept_seq, similarity, {_cut('rt', 150)} as removed_text, {_cut('kt', 150)} as kept_text, {_cut('rf', 100)} as removed_form, {_cut('kf', 100)} as kept_form
+      from named where place <= case section when 'fuzzy_low' then 50 else 100 end""",
+    "fuzzy_counters": f"with recursive {GRAMS_CTE} select 0::bigint as n_invalid, count(*) filter (where form = '') as n_empty, count(*) filter (where form <> '' and length(form) < 10) as n_short, count(*) filter (where length(form) >= 10) as n_compared from first where doc_id = kept_seq",
+    "embedding_stats": "select 'p' || (vec_id % 5) as period, count(*) as n, max(len(embedding))::int as dim from embeddings group by rollup (1)",
     "normalize_docs": f"with {NORM_CTE} select doc_id, md5(text) as norm_md5, length(text)::int as norm_len from norm",
     "normalize_ocr_repair": f"with lines as (select doc_id, replace(text, chr(10), '') || '§ 12 раздел' as x from documents where text is not null), r as (select doc_id, {repaired('x')} as y from lines) select doc_id, (len(string_split(y, chr(10))) - 1)::int as n_breaks, md5(y) as text_md5 from r",
     "normalization_stats": rf"""with {NORM_CTE} select doc_id, period, length(raw)::int as original_chars, length(text)::int as normalized_chars,

@@ -32,6 +32,7 @@ def unified(meta: DataFrame) -> DataFrame:
 class Pretreated:
     segments: DataFrame
     scored: DataFrame
+    found: DataFrame
     kept: DataFrame
     log: DataFrame
     missing: DataFrame
@@ -56,7 +57,7 @@ def pretreat(docs: DataFrame, meta: DataFrame, min_score: int = lexicon.MIN_SCOR
         "years": lexicon.year_frequency(lexicon.retained(scored)),
         "dedup": dedup.dedup_stats(found, log),
     }
-    return Pretreated(scored.select(*segs.columns), scored, kept, log, metadata.missing_metadata(docs, meta), stats)
+    return Pretreated(scored.select(*segs.columns), scored, found, kept, log, metadata.missing_metadata(docs, meta), stats)
 
 
 def cluster(rows: DataFrame, encode: Callable | None = None, reduce_dims: int | None = 50, **options) -> DataFrame:

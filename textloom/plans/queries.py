@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.functions import html, text
-from textloom.operators import dedup, encoder, lexicon, metadata, periods, segment, vectors
+from textloom.operators import dedup, encoder, lexicon, metadata, periods, reports, segment, vectors
 from textloom.plans.dirty import DIRTY
 from textloom.session import materialize, spread
 
@@ -110,6 +110,12 @@ def first_pairs(s: SparkSession, d: str) -> DataFrame:
     return dedup.dedup_exact(documents(s, d), "doc_id")
 
 
+def q_duplicate_samples(s: SparkSession, d: str) -> DataFrame:
+    rows = documents(s, d)
+    found = reports.duplicate_samples(dedup.dedup(rows, "doc_id")[1], rows, "doc_id")
+    return found.select("section", "place", "period", "removed_seq", "kept_seq", "similarity", *(F.md5(c).alias(c) for c in ("removed_text", "kept_text", "removed_form", "kept_form")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "normalize_docs": lambda s, d: normalized(s, d).select("doc_id", F.md5("text").alias("norm_md5"), F.length("text").alias("norm_len")),
     "normalize_ocr_repair": lambda s, d: documents(s, d).where("text is not null").select("doc_id", text.repair_breaks(F.concat(F.replace("text", F.lit("\n"), F.lit("")), F.lit("§ 12 раздел"))).alias("y")).select("doc_id", (F.size(F.split("y", "\n", -1)) - 1).alias("n_breaks"), F.md5("y").alias("text_md5")),
@@ -137,6 +143,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "top_scoring": lambda s, d: lexicon.top_scoring(scored(s, d), KEYS).select(*KEYS, "score"),
     "borderline": lambda s, d: lexicon.borderline(scored(s, d), KEYS).select(*KEYS, "score"),
     "sample_retained": lambda s, d: lexicon.sample_rows(lexicon.retained(scored(s, d)), KEYS).select(*KEYS, "score"),
+    "quality_report": lambda s, d: reports.quality_report(scored(s, d), KEYS).select("section", "place", *KEYS, "score", F.md5("text").alias("text_md5")),
+    "quality_counts": lambda s, d: reports.quality_counts(scored(s, d)),
+    "top_years_rejected": lambda s, d: reports.top_years(scored(s, d)),
+    "duplicate_samples": q_duplicate_samples,
+    "fuzzy_counters": lambda s, d: reports.fuzzy_counters(first_pairs(s, d)),
+    "embedding_stats": lambda s, d: reports.embedding_stats(table(s, d, "embeddings").withColumn("period", F.concat(F.lit("p"), F.col("vec_id") % 5))),
     "dedup_exact": lambda s, d: dedup.dedup_exact(documents(s, d), "doc_id").select("period", "doc_id"),
     "dedup_exact_log": lambda s, d: dedup.exact_log(documents(s, d), "doc_id").select("period", "removed_seq", "kept_seq"),
     "similar_pairs": lambda s, d: rounded(dedup.similar_pairs(first_pairs(s, d), "doc_id"), "similarity"),
