@@ -300,7 +300,7 @@ def wide_size(n: int, similarity: float, recall: float) -> tuple[int, int]:
     makes n rows and n * n / 2 ** (w + 1) pairs of strangers. An eighth more groups leave allocate_wide() a choice.
     """
     options = []
-    for m in (4, 3):  # 16 bits, or 21 and 22
+    for m in (3, 2):  # 21 and 22 bits, or 32
         w = 64 / m
         count = math.log(1 - recall) / math.log(1 - (1 - differing(similarity)) ** w)
         options.append((count * (n + n * n / 2 ** (w + 1)), m, math.ceil(count * 9 / 8 / m)))
@@ -413,18 +413,18 @@ def wide_plan(rows: DataFrame, m: int, words: int, similarity: float, recall: fl
 
 
 def wide_keys(groups: list[tuple[int, int, int]]) -> Column:
-    """array<struct<part, key>> of the column fp: its bits of each group and all within the group's threshold of them."""
+    """array<bigint> of the column fp: hashes of each group's number with its bits and all within its threshold of them."""
     def cell(i: int, word: int, mask: int, t: int) -> Column:
         base = F.get("fp", F.lit(word)).bitwiseAND(F.lit(signed(mask)))
         if not t:
-            return F.array(F.struct(F.lit(i).alias("part"), base.alias("key")))
-        return F.transform(F.lit(flips(mask, t)).cast("array<bigint>"), lambda x: F.struct(F.lit(i).alias("part"), base.bitwiseXOR(x).alias("key")))
+            return F.array(F.xxhash64(F.lit(i), base))
+        return F.transform(F.lit(flips(mask, t)).cast("array<bigint>"), lambda x: F.xxhash64(F.lit(i), base.bitwiseXOR(x)))
 
     return F.concat(*(cell(i, *group) for i, group in enumerate(groups)))
 
 
 def compared_in_blocks(rows: DataFrame, nodes: DataFrame, similarity: float, limit: int, block: int) -> DataFrame:
-    """(a, b, ra, rb): all pairs of rows(part, key, node, root, s) of one bucket, of different roots, whose fp differ in at most `limit` bits.
+    """(a, b, ra, rb): all pairs of rows(spot, node, root, s) of one bucket, of different roots, whose fp differ in at most `limit` bits.
 
     Pairs whose numbers of shingles rule out the similarity go too. A bucket of s nodes is dealt over ceil(s / block) chunks by a hash of the node, and each two chunks meet in one
     group of at most about two blocks, so no bucket is one task's and no pair that is far apart becomes a row.
@@ -458,9 +458,9 @@ def compared_in_blocks(rows: DataFrame, nodes: DataFrame, similarity: float, lim
 
     chunks = F.ceil(F.col("s") / block).cast("int")
     dealt = rows.withColumn("own", F.pmod(F.xxhash64("node"), chunks).cast("int")).withColumn("n", chunks)
-    spread = dealt.select("part", "key", "node", "root", "own", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other"))
-    spread = spread.select("part", "key", "node", "root", "own", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
-    met = spread.join(nodes, "node").groupBy("part", "key", "x", "y")
+    spread = dealt.select("spot", "node", "root", "own", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other"))
+    spread = spread.select("spot", "node", "root", "own", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
+    met = spread.join(nodes, "node").groupBy("spot", "x", "y")
     return met.applyInArrow(compare, "a bigint, b bigint, ra bigint, rb bigint").distinct()
 
 
@@ -498,10 +498,10 @@ def similar_components(
     rows = materialize(fingerprints(known, id_col, text_col, shingle, words), "wide")
     nodes = materialize(rows.groupBy("digest", "n_shingles", "fp").agg(F.min("doc").alias("node")), "nodes")
     groups = wide_plan(nodes, m, words, similarity, recall)
-    index = nodes.select("node", F.explode(wide_keys(groups)).alias("cell")).select("cell.part", "cell.key", "node")
-    shared = index.groupBy("part", "key").agg(F.count("*").alias("size"), F.min("node").alias("first")).where("size > 1")
+    index = nodes.select("node", F.explode(wide_keys(groups)).alias("spot"))
+    shared = index.groupBy("spot").agg(F.count("*").alias("size"), F.min("node").alias("first")).where("size > 1")
     shared = materialize(shared, "buckets")
-    met = materialize(index.join(shared, ["part", "key"]), "met")
+    met = materialize(index.join(shared, "spot"), "met")
 
     def near(pairs: DataFrame) -> DataFrame:
         left = pairs.join(nodes.select(F.col("node").alias("a"), F.col("fp").alias("fa"), F.col("n_shingles").alias("na")), "a")
@@ -529,15 +529,15 @@ def similar_components(
     if not more.isEmpty():
         roots = connected_components(links.unionByName(more))
     rooted = met.where("size > 2").join(roots, "node", "left")
-    rooted = materialize(rooted.select("part", "key", "first", "node", F.coalesce("root", "node").alias("root")), "rooted")
-    sizes = rooted.groupBy("part", "key", "root").agg(F.count("*").alias("c")).groupBy("part", "key").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("same"))
-    sizes = materialize(sizes.where("s * s > same").select("part", "key", "s", ((F.col("s") <= bucket) & (F.col("s") * F.col("s") - F.col("same") <= F.lit(CROSS) * F.col("s"))).alias("few")), "sizes")
-    mixed = materialize(rooted.join(sizes.where("few").select("part", "key"), ["part", "key"], "left_semi").where("node > first"), "mixed")
-    here = mixed.select("part", "key", F.col("node").alias("a"), F.col("root").alias("ra"))
-    there = mixed.select("part", "key", F.col("node").alias("b"), F.col("root").alias("rb"))
-    pairs = here.join(there, ["part", "key"]).where("a < b and ra <> rb").select("a", "b", "ra", "rb").distinct()
+    rooted = materialize(rooted.select("spot", "first", "node", F.coalesce("root", "node").alias("root")), "rooted")
+    sizes = rooted.groupBy("spot", "root").agg(F.count("*").alias("c")).groupBy("spot").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("same"))
+    sizes = materialize(sizes.where("s * s > same").select("spot", "s", ((F.col("s") <= bucket) & (F.col("s") * F.col("s") - F.col("same") <= F.lit(CROSS) * F.col("s"))).alias("few")), "sizes")
+    mixed = materialize(rooted.join(sizes.where("few").select("spot"), "spot", "left_semi").where("node > first"), "mixed")
+    here = mixed.select("spot", F.col("node").alias("a"), F.col("root").alias("ra"))
+    there = mixed.select("spot", F.col("node").alias("b"), F.col("root").alias("rb"))
+    pairs = here.join(there, "spot").where("a < b and ra <> rb").select("a", "b", "ra", "rb").distinct()
     joined = near(materialize(pairs, "pairs")).drop("apart")
-    full = rooted.join(sizes.where("not few").select("part", "key", "s"), ["part", "key"])
+    full = rooted.join(sizes.where("not few").select("spot", "s"), "spot")
     blocks = materialize(compared_in_blocks(full, nodes.select("node", "fp", "n_shingles"), similarity, limit, block), "blocks")
     crossing = materialize(joined.unionByName(blocks).distinct().join(stars.select("a", "b"), ["a", "b"], "left_anti"), "crossing")
     crossed = materialize(verified(crossing).select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct(), "crossed")
