@@ -7,6 +7,8 @@ import os
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -55,6 +57,21 @@ def scratch_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+#: Lets Spark remove a query's shuffle files when the query ends; without it they stay until the driver's garbage is collected.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """What is written inside leaves no shuffle files: the table that was written stands for them."""
+    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
+
+
 def materialize(df: DataFrame, tag: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
     """Write df as Parquet in the shared scratch folder and read it back.
 
@@ -62,10 +79,23 @@ def materialize(df: DataFrame, tag: str, partition_by: tuple[str, ...] = ()) ->
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
-    df.write.partitionBy(*partition_by).parquet(path)
+    with shuffles_removed(spark):
+        df.write.partitionBy(*partition_by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(*tables: DataFrame) -> None:
+    """Delete tables that materialize() has returned (no query on them), once all that is derived from them is written."""
+    for df in tables:
+        files = df.inputFiles()
+        if not files:  # nothing was written
+            continue
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        while "=" in path.getName():  # a folder of a partition
+            path = path.getParent()
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def unused(df: DataFrame, name: str) -> str:
     """A column name that df doesn't have, for helper columns; names differ without regard to case."""
     taken = {c.lower() for c in df.columns}
