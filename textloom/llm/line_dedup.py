@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm.runs import Runs, ordered_scans
-from textloom.session import materialize, unused
+from textloom.session import materialize, release, unused
 
 SPACE = "\x20\x09\x0a\x0b\x0c\x0d"  # fixed value of the contract
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -117,7 +117,7 @@ def frequent_lines(docs: DataFrame, id_col: str, text_col: str, least_chars: int
         with ordered_scans(docs.sparkSession):
             return ledger, materialize(runs.frequent(least_docs), "frequent")
     finally:
-        runs.store.close()
+        runs.store.close(files=True)
 
 
 def mark_lines(
@@ -146,6 +146,7 @@ def mark_lines(
     lost = ledger.join(frequent, "key").where("doc < last").select("doc", F.hex("key").alias("key"))
     lost = lost.groupBy("doc").agg(F.collect_set(F.lower("key")).alias("keys"))  # at most a document's own lines
     lost = materialize(lost, "lost")
+    release(ledger, frequent)
     kept = [docs[c] for c in docs.columns if c.lower() != out_col.lower()]
     return docs.join(lost, docs[id_col].cast("bigint") == lost["doc"], "left").select(*kept, lost["keys"].alias(out_col))
 

@@ -8,7 +8,7 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.session import scratch_dir
+from textloom.session import release, scratch_dir, shuffles_removed
 
 #: Lets a scan of buckets of one file each report the order the files are written in.
 ORDERED = "spark.sql.legacy.bucketedTableScan.outputOrdering"
@@ -41,7 +41,7 @@ class Runs:
         """df as a run: what was grouped by the key, or came from runs, lies in its buckets already."""
         name = f"textloom_{tag}_{uuid.uuid4().hex}"
         path = f"{scratch_dir(self.spark)}/{self.spark.sparkContext.applicationId}/{name}"
-        with ordered_scans(self.spark):
+        with ordered_scans(self.spark), shuffles_removed(self.spark):
             df.write.bucketBy(self.buckets, self.key).sortBy(self.key).option("path", path).saveAsTable(name)
         self.names.append(name)
         self.path = path
@@ -57,7 +57,10 @@ class Runs:
         """The run that was written last as a plain table, which outlives close()."""
         return self.spark.read.schema(run.schema).parquet(self.path)
 
-    def close(self) -> None:
+    def close(self, files: bool = False) -> None:
+        """Forget the runs; with `files` delete them too: no result reads them any more."""
         for name in self.names:
+            if files:
+                release(self.spark.table(name))
             self.spark.sql(f"drop table if exists `{name}`")
         self.names = []

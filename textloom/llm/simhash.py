@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm.components import connected_components
-from textloom.session import materialize
+from textloom.session import materialize, release
 
 SEED = 42  # fixed value of the contract
 #: Buckets up to this size are compared within; larger ones go another way, see the functions.
@@ -497,11 +497,14 @@ def similar_components(
     limit = int(words * 64 * differing(similarity) + 3 * math.sqrt(words * 64 * differing(similarity) * (1 - differing(similarity))))
     rows = materialize(fingerprints(known, id_col, text_col, shingle, words), "wide")
     nodes = materialize(rows.groupBy("digest", "n_shingles", "fp").agg(F.min("doc").alias("node")), "nodes")
+    members = materialize(rows.select("doc", "digest"), "members")
+    release(rows)
     groups = wide_plan(nodes, m, words, similarity, recall)
     index = nodes.select("node", F.explode(wide_keys(groups)).alias("spot"))
     shared = index.groupBy("spot").agg(F.count("*").alias("size"), F.min("node").alias("first")).where("size > 1")
     shared = materialize(shared, "buckets")
     met = materialize(index.join(shared, "spot"), "met")
+    release(shared)
 
     def near(pairs: DataFrame) -> DataFrame:
         left = pairs.join(nodes.select(F.col("node").alias("a"), F.col("fp").alias("fa"), F.col("n_shingles").alias("na")), "a")
@@ -519,7 +522,8 @@ def similar_components(
 
     # Most nodes of a group of near copies are linked by the nearest of their candidates; the rest need the other ones.
     stars = materialize(met.where("node > first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct(), "stars")
-    stars = materialize(near(stars), "near")
+    met_first, stars = stars, materialize(near(stars), "near")
+    release(met_first)
     nearest = materialize(stars.groupBy("b").agg(F.min(F.struct("apart", "a")).alias("x")).select("x.a", "b"), "nearest")
     links = materialize(verified(nearest), "links")
     roots = connected_components(links)
@@ -530,21 +534,23 @@ def similar_components(
         roots = connected_components(links.unionByName(more))
     rooted = met.where("size > 2").join(roots, "node", "left")
     rooted = materialize(rooted.select("spot", "first", "node", F.coalesce("root", "node").alias("root")), "rooted")
+    release(met)
     sizes = rooted.groupBy("spot", "root").agg(F.count("*").alias("c")).groupBy("spot").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("same"))
     sizes = materialize(sizes.where("s * s > same").select("spot", "s", ((F.col("s") <= bucket) & (F.col("s") * F.col("s") - F.col("same") <= F.lit(CROSS) * F.col("s"))).alias("few")), "sizes")
     mixed = materialize(rooted.join(sizes.where("few").select("spot"), "spot", "left_semi").where("node > first"), "mixed")
     here = mixed.select("spot", F.col("node").alias("a"), F.col("root").alias("ra"))
     there = mixed.select("spot", F.col("node").alias("b"), F.col("root").alias("rb"))
     pairs = here.join(there, "spot").where("a < b and ra <> rb").select("a", "b", "ra", "rb").distinct()
-    joined = near(materialize(pairs, "pairs")).drop("apart")
+    joined = materialize(near(materialize(pairs, "pairs")).drop("apart"), "joined")
     full = rooted.join(sizes.where("not few").select("spot", "s"), "spot")
     blocks = materialize(compared_in_blocks(full, nodes.select("node", "fp", "n_shingles"), similarity, limit, block), "blocks")
+    release(rooted, mixed)
     crossing = materialize(joined.unionByName(blocks).distinct().join(stars.select("a", "b"), ["a", "b"], "left_anti"), "crossing")
     crossed = materialize(verified(crossing).select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct(), "crossed")
     tops = connected_components(crossed).select(F.col("node").alias("root"), F.col("root").alias("top"))
     owned = nodes.join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("root"))
     place = materialize(owned.join(tops, "root", "left").select("digest", F.coalesce("top", "root").alias("component_id")), "places")
-    return rows.select("doc", "digest").join(place, "digest").select("doc", "component_id")
+    return members.join(place, "digest").select("doc", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
