@@ -293,6 +293,29 @@ def differing(similarity: float) -> float:
     return math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
 
 
+def limit_of(bits: int, similarity: float, errors: float) -> int:
+    """How many of that many bits differ at most for a pair of `similarity`, with so many standard errors of slack."""
+    d = differing(similarity)
+    return int(bits * d + errors * math.sqrt(bits * d * (1 - d)))
+
+
+#: Wide fingerprints: bits that brief() takes of the last word; the number of shingles has the other 16.
+BRIEF = 48
+
+
+def brief() -> Column:
+    """bigint of the columns n_shingles and fp: thousandths of the logarithm of n_shingles, and BRIEF bits of the last word."""
+    size = F.floor(F.log(F.greatest("n_shingles", F.lit(1))) * 1000).cast("bigint")  # under 2 ** 15
+    return F.shiftleft(size, BRIEF).bitwiseOR(F.element_at("fp", -1).bitwiseAND(F.lit((1 << BRIEF) - 1)))
+
+
+def may_be_near(a: str, b: str, similarity: float) -> Column:
+    """Whether two brief() leave `similarity` possible: numbers of shingles never mislead; the bits do by over four standard errors."""
+    sizes = F.abs(F.shiftrightunsigned(F.col(a), BRIEF) - F.shiftrightunsigned(F.col(b), BRIEF)) <= math.ceil(-1000 * math.log(similarity)) + 1
+    bits = F.bit_count(F.col(a).bitwiseXOR(F.col(b)).bitwiseAND(F.lit((1 << BRIEF) - 1)))
+    return sizes & (bits <= limit_of(BRIEF, similarity, 4))
+
+
 def wide_size(n: int, similarity: float, recall: float) -> tuple[int, int]:
     """(groups of a word, words): what a fingerprint of n rows needs, by the least estimated cost for even bits.
 
@@ -484,6 +507,9 @@ def similar_components(
     `similarity` or more. Equal sets are one node. The size of the table chooses the groups and the bits, so how
     candidates are searched, but no verdict on a pair.
 
+    Rows of a bucket carry the number of shingles and 48 bits, so a pair whose numbers rule out the similarity, or whose
+    bits do by over four standard errors (chance 0.0001 for a pair at `similarity`), ends within the join that finds it.
+
     Candidates come in two rounds, so that a group of near copies makes rows in proportion to its size. First, each
     bucket of one group's bits is compared with its smallest node, and what is linked becomes one component. Then a
     bucket that still holds several components has its pairs across components compared; pairs within one would
@@ -494,15 +520,14 @@ def similar_components(
     """
     known = docs.where(F.col(id_col).isNotNull())
     m, words = wide_size(known.count(), similarity, recall)
-    limit = int(words * 64 * differing(similarity) + 3 * math.sqrt(words * 64 * differing(similarity) * (1 - differing(similarity))))
+    limit = limit_of(words * 64, similarity, 3)
     rows = materialize(fingerprints(known, id_col, text_col, shingle, words), "wide")
     nodes = materialize(rows.groupBy("digest", "n_shingles", "fp").agg(F.min("doc").alias("node")), "nodes")
     members = materialize(rows.select("doc", "digest"), "members")
     release(rows)
     groups = wide_plan(nodes, m, words, similarity, recall)
-    index = nodes.select("node", F.explode(wide_keys(groups)).alias("spot"))
-    shared = index.groupBy("spot").agg(F.count("*").alias("size"), F.min("node").alias("first")).where("size > 1")
-    shared = materialize(shared, "buckets")
+    index = nodes.select("node", brief().alias("brief"), F.explode(wide_keys(groups)).alias("spot"))
+    shared = materialize(index.groupBy("spot").agg(F.count("*").alias("size")).where("size > 1"), "buckets")
     met = materialize(index.join(shared, "spot"), "met")
     release(shared)
 
@@ -521,7 +546,9 @@ def similar_components(
         return both.where(common / (F.size("ha") + F.size("hb") - common) >= similarity).drop("ha", "hb")
 
     # Most nodes of a group of near copies are linked by the nearest of their candidates; the rest need the other ones.
-    stars = materialize(met.where("node > first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct(), "stars")
+    heads = met.groupBy("spot").agg(F.min(F.struct("node", "brief")).alias("head")).select("spot", F.col("head.node").alias("a"), F.col("head.brief").alias("brief_a"))
+    stars = met.join(heads, "spot").where((F.col("node") > F.col("a")) & may_be_near("brief", "brief_a", similarity))
+    stars = materialize(stars.select("a", F.col("node").alias("b")).distinct(), "stars")
     met_first, stars = stars, materialize(near(stars), "near")
     release(met_first)
     nearest = materialize(stars.groupBy("b").agg(F.min(F.struct("apart", "a")).alias("x")).select("x.a", "b"), "nearest")
@@ -533,16 +560,17 @@ def similar_components(
     if not more.isEmpty():
         roots = connected_components(links.unionByName(more))
     rooted = met.where("size > 2").join(roots, "node", "left")
-    rooted = materialize(rooted.select("spot", "first", "node", F.coalesce("root", "node").alias("root")), "rooted")
+    rooted = materialize(rooted.select("spot", "node", "brief", F.coalesce("root", "node").alias("root")), "rooted")
     release(met)
-    sizes = rooted.groupBy("spot", "root").agg(F.count("*").alias("c")).groupBy("spot").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("same"))
-    sizes = materialize(sizes.where("s * s > same").select("spot", "s", ((F.col("s") <= bucket) & (F.col("s") * F.col("s") - F.col("same") <= F.lit(CROSS) * F.col("s"))).alias("few")), "sizes")
-    mixed = materialize(rooted.join(sizes.where("few").select("spot"), "spot", "left_semi").where("node > first"), "mixed")
-    here = mixed.select("spot", F.col("node").alias("a"), F.col("root").alias("ra"))
-    there = mixed.select("spot", F.col("node").alias("b"), F.col("root").alias("rb"))
-    pairs = here.join(there, "spot").where("a < b and ra <> rb").select("a", "b", "ra", "rb").distinct()
+    sizes = rooted.groupBy("spot", "root").agg(F.count("*").alias("c"), F.min("node").alias("first"))
+    sizes = sizes.groupBy("spot").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("same"), F.min("first").alias("first"))
+    sizes = materialize(sizes.where("s * s > same").select("spot", "s", "first", ((F.col("s") <= bucket) & (F.col("s") * F.col("s") - F.col("same") <= F.lit(CROSS) * F.col("s"))).alias("few")), "sizes")
+    mixed = materialize(rooted.join(sizes.where("few").select("spot", "first"), "spot").where("node > first").drop("first"), "mixed")
+    here = mixed.select("spot", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("brief").alias("brief_a"))
+    there = mixed.select("spot", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("brief").alias("brief_b"))
+    pairs = here.join(there, "spot").where(F.expr("a < b and ra <> rb") & may_be_near("brief_a", "brief_b", similarity)).select("a", "b", "ra", "rb").distinct()
     joined = materialize(near(materialize(pairs, "pairs")).drop("apart"), "joined")
-    full = rooted.join(sizes.where("not few").select("spot", "s"), "spot")
+    full = rooted.drop("brief").join(sizes.where("not few").select("spot", "s"), "spot")
     blocks = materialize(compared_in_blocks(full, nodes.select("node", "fp", "n_shingles"), similarity, limit, block), "blocks")
     release(rooted, mixed)
     crossing = materialize(joined.unionByName(blocks).distinct().join(stars.select("a", "b"), ["a", "b"], "left_anti"), "crossing")
