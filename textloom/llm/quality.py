@@ -132,16 +132,22 @@ def fit_references(docs: DataFrame, labels: DataFrame, text_col: str = "text", l
     chosen = materialize(usable.join(materialize(ids, "chosen"), "id"), "samples")  # `limit` documents a language and label
 
     def count(batches):
-        import pandas as pd
+        import pyarrow as pa
 
         for batch in batches:
-            rows = []
-            for lang, text in zip(batch["lang"], batch["text"]):
-                rows += [(lang, CLASSES[i], n, True) for i, n in enumerate(class_counts(text)) if n]
-                rows += [(lang, w, n, False) for w, n in plain_words(WORD.findall(text)).items()]
-            yield pd.DataFrame(rows, columns=["lang", "name", "n", "is_class"])
-
-    counted = chosen.where("good").select("lang", "text").mapInPandas(count, "lang string, name string, n bigint, is_class boolean")
+            for at in range(0, batch.num_rows, 256):  # summed before they become rows, as a worker's memory counts
+                part, sums = batch.slice(at, 256), Counter()
+                for lang, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    for i, n in enumerate(class_counts(text)):
+                        if n:
+                            sums[lang, CLASSES[i], True] += n
+                    for w, n in plain_words(WORD.findall(text)).items():
+                        sums[lang, w, False] += n
+                langs, names, kinds = zip(*sums) if sums else ((), (), ())
+                columns = [pa.array(langs, pa.string()), pa.array(names, pa.string()), pa.array(sums.values(), pa.int64()), pa.array(kinds, pa.bool_())]
+                yield pa.RecordBatch.from_arrays(columns, ["lang", "name", "n", "is_class"])
+
+    counted = chosen.where("good").selectExpr("cast(lang as string) as lang", "cast(text as string) as text").mapInArrow(count, "lang string, name string, n bigint, is_class boolean")
     sums = materialize(counted.groupBy("lang", "name", "is_class").agg(F.sum("n").alias("n")), "counts")
     place = W.partitionBy("lang", "is_class").orderBy(F.desc("n"), "name")  # the planner keeps COMMON_WORDS a task before the shuffle
     rows = sums.withColumn("place", F.row_number().over(place)).where(F.col("place") <= COMMON_WORDS).collect()
@@ -173,18 +179,20 @@ def best_limit(good: dict[int, int], bad: dict[int, int]) -> float:
 def fit_limit(chosen: DataFrame, references: dict) -> float:
     """best_limit() over chosen(text, lang, good): documents that the base rules fail, or that get no verdict, don't count."""
     def score(batches):
-        import pandas as pd
+        import pyarrow as pa
 
         for batch in batches:
-            rows = []
-            for text, lang, good in zip(batch["text"], batch["lang"], batch["good"]):
-                got = assess(text, lang, references)
-                known = references.get(lang)
-                if not got[5] and known and known[2] >= MIN_REFERENCE_WORDS:
-                    rows.append((bool(good), min(BINS, int(1000 * (got[7] + got[8])))))
-            yield pd.DataFrame(rows, columns=["good", "bin"])
-
-    found = chosen.select("text", "lang", "good").mapInPandas(score, "good boolean, bin int").groupBy("good", "bin").count().collect()  # 2 * BINS rows
+            for at in range(0, batch.num_rows, 256):
+                rows = []
+                for text, lang, good in zip(*(column.to_pylist() for column in batch.slice(at, 256).columns)):
+                    got = assess(text, lang, references)
+                    known = references.get(lang)
+                    if not got[5] and known and known[2] >= MIN_REFERENCE_WORDS:
+                        rows.append((bool(good), min(BINS, int(1000 * (got[7] + got[8])))))
+                yield pa.RecordBatch.from_arrays([pa.array([g for g, _ in rows], pa.bool_()), pa.array([x for _, x in rows], pa.int32())], ["good", "bin"])
+
+    given = chosen.selectExpr("cast(text as string) as text", "cast(lang as string) as lang", "good")
+    found = given.mapInArrow(score, "good boolean, bin int").groupBy("good", "bin").count().collect()  # 2 * BINS rows
     return best_limit(*({r["bin"]: r["count"] for r in found if r["good"] == kind} for kind in (True, False)))
 
 
