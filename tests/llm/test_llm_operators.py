@@ -402,6 +402,22 @@ def test_similar_components_in_a_boilerplate_family(spark):
         assert sum(want[k] != k and got[k] == k for k in want) <= 3  # recall 0.98
 
 
+def test_wide_keys_grow_with_the_table(spark):
+    """Five times the rows, none alike: what shares a bucket by chance grows little more than the table, not with its square."""
+    def shared(n):
+        width, size = simhash.wide_size(n, 0.8, 0.98)
+        rows = spark.range(n).select(simhash.F.array(*(simhash.F.xxhash64("id", simhash.F.lit(k)) for k in range(size))).alias("fp"))
+        keys = rows.select(simhash.F.explode(simhash.wide_keys(simhash.wide_plan(rows, width, size, 0.8, 0.98))).alias("spot"))
+        return keys.groupBy("spot").count().where("count > 1").agg(simhash.F.sum("count")).first()[0] or 0
+
+    few, many = shared(4000), shared(20000)
+    assert 0 < few and many < 12 * few, (few, many)
+    widths = [simhash.wide_size(10**k, 0.8, 0.98)[0] for k in range(4, 9)]
+    assert widths == sorted(set(widths)) and all(10**k <= 2**w for k, w in zip(range(4, 9), widths))
+    both = [[1.0] * 64 for _ in range(64)]
+    assert [len(g) for g in simhash.group_bits(both, 3, 19)] == [19, 19, 19] and len({b for g in simhash.group_bits(both, 3, 19) for b in g}) == 57
+
+
 def test_similar_components_links_by_exact_similarity(spark):
     rows = family(300, shared=160, own=26)
     want = brute_components(rows)

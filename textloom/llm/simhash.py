@@ -51,13 +51,13 @@ def majority_bits(hashes) -> int:
 
 
 def projection(words: int):
-    """Fixed signs that fold CELLS cells into 64 bits a word."""
+    """Fixed signs that fold CELLS cells into 64 bits a word; a byte each, as a worker's memory counts."""
     import numpy as np
 
     if words not in _projections:
         bits = np.random.Generator(np.random.PCG64(20_11)).integers(0, 256, CELLS * words * 8, np.uint8)
-        signs = np.unpackbits(bits).astype(np.float32).reshape(CELLS, words * 64)
-        signs *= 2  # in place, as a worker's memory counts
+        signs = np.unpackbits(bits).view(np.int8).reshape(CELLS, words * 64)
+        signs *= 2
         signs -= 1
         _projections[words] = signs
     return _projections[words]
@@ -73,7 +73,9 @@ def wide_bits(sets: list, words: int):
     cells = np.zeros((len(sets), CELLS), np.float32)
     for row, hashes in enumerate(sets):
         cells[row] = np.bincount((hashes & np.uint64(CELLS - 1)).astype(np.int64), 1 - 2.0 * (hashes >> np.uint64(63)), CELLS)
-    return np.packbits(cells @ projection(words) > 0, axis=1, bitorder="little").view("<i8")
+    signs = projection(words)
+    above = [cells @ signs[:, at : at + 512].astype(np.float32) > 0 for at in range(0, words * 64, 512)]
+    return np.packbits(np.hstack(above), axis=1, bitorder="little").view("<i8")
 
 
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int, words: int | None = None) -> DataFrame:
@@ -152,11 +154,11 @@ def correlation(both: list[list[float]], n: int) -> list[list[float]]:
     return [[abs(both[i][j] / max(n, 1) - p[i] * p[j]) / (spread[i] * spread[j]) for j in range(64)] for i in range(64)]
 
 
-def group_bits(corr: list[list[float]], m: int) -> list[list[int]]:
-    """m groups of near-equal size. A group starts with the lowest bit left and takes the bit that correlates most with it."""
+def group_bits(corr: list[list[float]], m: int, width: int | None = None) -> list[list[int]]:
+    """m groups, of `width` bits or of near-equal size. A group starts with the lowest bit left and takes the bit that correlates most with it."""
     left, groups = list(range(64)), []
     for g in range(m):
-        size = len(left) // (m - g)
+        size = width or len(left) // (m - g)
         group = [left.pop(0)]
         while len(group) < size:
             best = max(left, key=lambda b: (sum(corr[b][x] for x in group), -b))
@@ -299,6 +301,8 @@ def limit_of(bits: int, similarity: float, errors: float) -> int:
     return int(bits * d + errors * math.sqrt(bits * d * (1 - d)))
 
 
+#: Wide fingerprints: what a pair of strangers (two more rows in each join over buckets) and a word (its projection) cost, in rows of the index.
+PAIR_COST, WORD_COST = 4, 5
 #: Wide fingerprints: bits that brief() takes of the last word; the number of shingles has the other 16.
 BRIEF = 48
 
@@ -317,16 +321,19 @@ def may_be_near(a: str, b: str, similarity: float) -> Column:
 
 
 def wide_size(n: int, similarity: float, recall: float) -> tuple[int, int]:
-    """(groups of a word, words): what a fingerprint of n rows needs, by the least estimated cost for even bits.
+    """(bits of a group, words): what a fingerprint of n rows needs, by the least estimated cost for even bits.
 
-    A group of w bits agrees with chance (1 - differing) ** w, so it takes ln(1 - recall) / ln(1 - that) groups; each
-    makes n rows and n * n / 2 ** (w + 1) pairs of strangers. An eighth more groups leave allocate_wide() a choice.
+    A group of w bits agrees with chance (1 - differing) ** w, so it takes ln(1 - recall) / ln(1 - that) groups, of which
+    64 // w fit a word; an eighth more groups leave allocate_wide() a choice. Each group makes n rows and n * n / 2 ** (w + 1)
+    pairs of strangers. So w grows with the logarithm of n: the share of rows that meet strangers stays bounded, and all
+    rows together grow by a power of n little above one. With one w for all tables, strangers grow with the square of n
+    until the buckets are full.
     """
     options = []
-    for m in (3, 2):  # 21 and 22 bits, or 32
-        w = 64 / m
+    for w in range(12, 33):
         count = math.log(1 - recall) / math.log(1 - (1 - differing(similarity)) ** w)
-        options.append((count * (n + n * n / 2 ** (w + 1)), m, math.ceil(count * 9 / 8 / m)))
+        words = math.ceil(count * 9 / 8 / (64 // w))
+        options.append((count * (n + PAIR_COST * n * n / 2 ** (w + 1)) + WORD_COST * n * words, w, words))
     return min(options)[1:]
 
 
@@ -418,14 +425,14 @@ def allocate_wide(groups: list[tuple[int, list[int]]], costs: list[list[float]],
     return chosen[::-1]
 
 
-def wide_plan(rows: DataFrame, m: int, words: int, similarity: float, recall: float) -> list[tuple[int, int, int]]:
-    """(word, mask, threshold) of the groups in use.
+def wide_plan(rows: DataFrame, width: int, words: int, similarity: float, recall: float) -> list[tuple[int, int, int]]:
+    """(word, mask, threshold) of the groups in use, of `width` bits each.
 
     The bits of each word are grouped by their correlation over all rows, and unequal thresholds are allocated by dynamic
     programming: the cost of a group is its index rows and probes, and the pairs of strangers that strangers() expects.
     """
     both, n = wide_bit_counts(rows, words)
-    groups = [(k, bits) for k in range(words) for bits in group_bits(correlation(both[k], n), m)]
+    groups = [(k, bits) for k in range(words) for bits in group_bits(correlation(both[k], n), 64 // width, width)]
     costs = []
     for k, bits in groups:
         keys = [sum(math.comb(len(bits), x) for x in range(t + 1)) for t in (0, 1)]
@@ -493,7 +500,7 @@ def similar_components(
     text_col: str = "text",
     shingle: int = 5,
     similarity: float = 0.8,
-    recall: float = 0.98,
+    recall: float = 0.995,
     bucket: int = BUCKET,
     block: int = BLOCK,
 ) -> DataFrame:
@@ -519,13 +526,13 @@ def similar_components(
     null ids are in no component. An empty table gives an empty result.
     """
     known = docs.where(F.col(id_col).isNotNull())
-    m, words = wide_size(known.count(), similarity, recall)
+    width, words = wide_size(known.count(), similarity, recall)
     limit = limit_of(words * 64, similarity, 3)
     rows = materialize(fingerprints(known, id_col, text_col, shingle, words), "wide")
     nodes = materialize(rows.groupBy("digest", "n_shingles", "fp").agg(F.min("doc").alias("node")), "nodes")
     members = materialize(rows.select("doc", "digest"), "members")
     release(rows)
-    groups = wide_plan(nodes, m, words, similarity, recall)
+    groups = wide_plan(nodes, width, words, similarity, recall)
     index = nodes.select("node", brief().alias("brief"), F.explode(wide_keys(groups)).alias("spot"))
     shared = materialize(index.groupBy("spot").agg(F.count("*").alias("size")).where("size > 1"), "buckets")
     met = materialize(index.join(shared, "spot"), "met")
