@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import os
 import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.functions.text import DIGIT, SPACE, WORD, fold_yo
+from textloom.functions.text import DIGIT, SPACE, WORD, any_case, fold_yo
 
 # The patterns of each category, the weights, the categories that open the gate for years, and the years.
 PATTERNS = {
@@ -85,6 +86,13 @@ def spelled_out(pattern: str) -> str:
     return borders.replace(r"\w", WORD).replace(r"\s", SPACE).replace(r"\d", DIGIT)
 
 
+def without_groups(pattern: str) -> str:
+    """What stands outside of parentheses."""
+    while (rest := re.sub(r"\([^()]*\)", "", pattern)) != pattern:
+        pattern = rest
+    return pattern
+
+
 @dataclass(frozen=True)
 class Lexicon:
     """Injectable: any categories may be replaced. Strong categories open the gate for years; the first one is enough alone."""
@@ -96,13 +104,34 @@ class Lexicon:
     key_years: list[str] = field(default_factory=lambda: KEY_YEARS)
     direct: str = "stalin"
 
+    def initials(self, category: str) -> str:
+        """The lower-case letters with which all matches of a category begin; empty where a pattern doesn't begin with a letter."""
+        own = [p.removeprefix(r"\b") for p in self.patterns[category]]
+        if not all(p[:1].islower() and len(p[0].upper()) == 1 for p in own) or any(re.match(r"\w[?*{]", p) or "|" in without_groups(p) for p in own):
+            return ""
+        return "".join(sorted({p[0] for p in own}))
+
     def pattern(self, category: str) -> str:
-        """All patterns of a category; a look ahead at the first letters, where all begin with one, spares most places."""
-        first = {p.removeprefix(r"\b")[0] for p in self.patterns[category]}
-        if all(c.islower() for c in first) and not any(re.match(r"(?:\\b)?\w[?*{]", p) or re.search(r"^[^(\[]*\|", p) for p in self.patterns[category]):
-            same = "".join(c for c in map(chr, range(0x10000)) if c.upper().lower() in first or c.lower() in first)
-            return rf"(?=(?-iu:[{same}]))(?iu)" + "|".join(f"(?:{spelled_out(p)})" for p in self.patterns[category])
-        return "(?iu)" + "|".join(f"(?:{spelled_out(p)})" for p in self.patterns[category])
+        """All patterns of a category. Where all begin with a letter, looks ahead and behind spare most places, and of the
+        patterns only those of the letter are tried, in their order."""
+        own, letters = self.patterns[category], self.initials(category)
+        if not letters:
+            return "(?iu)" + "|".join(f"(?:{spelled_out(p)})" for p in own)
+        border = rf"(?<!{WORD})" if all(p.startswith(r"\b") for p in own) else ""
+        groups = []
+        for c in letters:
+            alike = "|".join(f"(?:{spelled_out(p.removeprefix(chr(92) + 'b') if border else p)})" for p in own if p.removeprefix(r"\b")[0] == c)
+            groups.append(f"(?=(?-iu:[{any_case(c)}]))(?:{alike})")
+        return f"{border}(?=[{any_case(letters)}])(?iu)(?:{'|'.join(groups)})"
+
+    def may_match(self, text: Column) -> Column | None:
+        """Whether a text has a letter with which a match can begin; None where some match may begin with another sign."""
+        letters = [self.initials(c) for c in self.patterns]
+        if not all(letters):
+            return None
+        found = text.rlike(f"[{any_case(''.join(sorted(set(''.join(letters)))))}]")
+        # A text of as many bytes as characters has no other letters than ASCII's.
+        return found if any(c.isascii() for x in letters for c in x) else (F.octet_length(text) > F.length(text)) & found
 
     @property
     def key_year_pattern(self) -> str:
@@ -126,7 +155,11 @@ def score_segments(segs: DataFrame, lexicon: Lexicon | None = None, text_col: st
     lex = lexicon or Lexicon()
     folded = "_folded"
     out = segs.withColumn(folded, fold_yo(F.col(text_col)))
-    out = out.withColumns({f"n_{c}": F.regexp_count(folded, F.lit(lex.pattern(c))) for c in lex.patterns} | {"key_years": distinct_matches(F.col(folded), lex.key_year_pattern)})
+    may, same = lex.may_match(F.col(folded)), os.path.commonprefix(lex.key_years)
+    out = out.withColumn("_may", F.lit(True) if may is None else may)
+    counts = {f"n_{c}": F.when(F.col("_may") | F.col("_may").isNull(), F.regexp_count(folded, F.lit(lex.pattern(c)))).otherwise(0) for c in lex.patterns}
+    years = F.when(F.contains(folded, F.lit(same)) | F.col(folded).isNull(), distinct_matches(F.col(folded), lex.key_year_pattern)).otherwise(F.array().cast("array<string>"))
+    out = out.withColumns(counts | {"key_years": years})
     if all_years:
         out = out.withColumn("all_years", distinct_matches(F.col(folded), ANY_YEAR))
 
@@ -134,7 +167,7 @@ def score_segments(segs: DataFrame, lexicon: Lexicon | None = None, text_col: st
         return F.col(f"n_{c}")
 
     strong = F.greatest(*(n(c) for c in lex.strong)) > 0
-    out = out.drop(folded).withColumns({"n_key_years": F.size("key_years"), "strong": strong, "thematic": F.greatest(*(n(c) for c in lex.patterns)) > 0})
+    out = out.drop(folded, "_may").withColumns({"n_key_years": F.size("key_years"), "strong": strong, "thematic": F.greatest(*(n(c) for c in lex.patterns)) > 0})
     score = sum((n(c) * w for c, w in lex.weights.items()), F.lit(0)) + F.when(F.col("strong"), F.least("n_key_years", F.lit(YEAR_CAP))).otherwise(0)
     ranks = F.array(*(F.struct((n(c) * lex.weights[c]).alias("weight"), n(c).alias("count"), F.lit(c).alias("name")) for c in lex.ranked))
     top = F.filter(ranks, lambda r: r["weight"] == F.array_max(F.transform(ranks, lambda x: x["weight"])))

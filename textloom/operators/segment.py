@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.functions.text import SPACE, count_words, strip
+from textloom.functions.text import SPACE, any_case, bind, count_words, strip
 
 #: Limits, and abbreviations whose full stops end no sentence, in the order of their protection.
 MAX_CHARS = 1500
@@ -31,19 +31,23 @@ def paragraphs(c: Column) -> Column:
 
 
 #: Any of them: most texts of some languages have none and are left alone after one search.
-ANY_ABBREVIATION = "(?iu)" + "|".join(a.replace(".", r"\.") for a in ABBREVIATIONS)
+ANY_ABBREVIATION = f"(?=[{any_case(''.join(sorted({a[0] for a in ABBREVIATIONS})))}])(?iu)(?:{'|'.join(a.replace('.', chr(92) + '.') for a in ABBREVIATIONS)})"
 
 
 def guard_abbreviations(c: Column) -> Column:
     def guard(text: Column, abbreviation: str) -> Column:
-        return F.regexp_replace(text, "(?iu)" + abbreviation.replace(".", r"\."), abbreviation.replace(".", GUARD))
+        return F.regexp_replace(text, f"(?=[{any_case(abbreviation[0])}])(?iu)" + abbreviation.replace(".", r"\."), abbreviation.replace(".", GUARD))
 
-    return F.when(c.rlike(ANY_ABBREVIATION), reduce(guard, ABBREVIATIONS, c)).otherwise(c)
+    def guarded(text: Column) -> Column:
+        # A text of as many bytes as characters is ASCII, and no abbreviation is.
+        return F.when((F.octet_length(text) > F.length(text)) & text.rlike(ANY_ABBREVIATION), reduce(guard, ABBREVIATIONS, text)).otherwise(text)
+
+    return bind(c, guarded)
 
 
 def sentences(c: Column) -> Column:
     """Split behind . ! ? and one closing mark; abbreviations come back in lower case."""
-    parts = F.split(guard_abbreviations(c), rf'(?:(?<=[.!?])|(?<=[.!?][»")\]])){SPACE}+', -1)
+    parts = F.split(guard_abbreviations(c), rf'(?={SPACE})(?:(?<=[.!?])|(?<=[.!?][»")\]])){SPACE}+', -1)
     return F.filter(F.transform(parts, lambda s: strip(F.replace(s, F.lit(GUARD), F.lit(".")))), lambda s: s != "")
 
 
@@ -57,31 +61,32 @@ def pack_sentences(sents: Column, max_chars: int = MAX_CHARS) -> Column:
     MAX_SENTENCES in any case. A sentence counts one more character than it has, but not as the first of a segment
     behind a closed one. A single last sentence joins the segment before it while that has room.
     """
-    start = F.struct(F.array().cast(f"array<{SEGMENT}>").alias("done"), F.array().cast("array<string>").alias("now"), F.lit(0).alias("size"))
-
-    def segment(parts: Column) -> Column:
-        return F.struct(F.array_join(parts, " ").alias("text"), F.size(parts).alias("n"))
+    # The fold sees lengths only: starts of the segments, sentences and characters of the open one, and the place.
+    none = F.struct(F.array(F.lit(0)).alias("starts"), F.lit(0).alias("n"), F.lit(0).alias("size"), F.lit(0).alias("at"))
 
-    def step(state: Column, s: Column) -> Column:
-        full = ((state["size"] + F.length(s) > max_chars) & (F.size(state["now"]) >= 2)) | (F.size(state["now"]) >= MAX_SENTENCES)
+    def step(state: Column, length: Column) -> Column:
+        full = ((state["size"] + length > max_chars) & (state["n"] >= 2)) | (state["n"] >= MAX_SENTENCES)
         return F.struct(
-            F.when(full, F.concat(state["done"], F.array(segment(state["now"])))).otherwise(state["done"]).alias("done"),
-            F.when(full, F.array(s)).otherwise(F.concat(state["now"], F.array(s))).alias("now"),
-            F.when(full, F.length(s)).otherwise(state["size"] + F.length(s) + 1).alias("size"),
+            F.when(full, F.concat(state["starts"], F.array(state["at"]))).otherwise(state["starts"]).alias("starts"),
+            F.when(full, 1).otherwise(state["n"] + 1).alias("n"),
+            F.when(full, length).otherwise(state["size"] + length + 1).alias("size"),
+            (state["at"] + 1).alias("at"),
         )
 
     def finish(state: Column) -> Column:
-        done, now = state["done"], state["now"]
-        before = F.get(done, F.size(done) - 1)
-        joined = F.struct(F.concat(before["text"], F.lit(" "), F.get(now, F.lit(0))).alias("text"), (before["n"] + 1).alias("n"))
-        merge = (F.size(now) == 1) & (F.size(done) > 0) & (F.coalesce(before["n"], F.lit(0)) < MAX_SENTENCES)
-        return (
-            F.when(F.size(now) == 0, done)
-            .when(merge, F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(joined)))
-            .otherwise(F.concat(done, F.array(segment(now))))
-        )
+        starts, n = state["starts"], F.size(state["starts"])
+        merge = (state["n"] == 1) & (n > 1) & (F.get(starts, n - 1) - F.get(starts, n - 2) < MAX_SENTENCES)
+        return F.when(merge, F.slice(starts, F.lit(1), n - 1)).otherwise(starts)
 
-    return F.aggregate(sents, start, step, finish)
+    def segments_at(starts: Column) -> Column:
+        def segment(start: Column, i: Column) -> Column:
+            n = F.coalesce(F.get(starts, i + 1), F.size(sents)) - start
+            return F.struct(F.array_join(F.slice(sents, start + 1, n), " ").alias("text"), n.alias("n"))
+
+        return F.transform(starts, segment)
+
+    found = bind(F.aggregate(F.transform(sents, F.length), none, step, finish), segments_at)
+    return F.when(F.size(sents) > 0, found).otherwise(F.array().cast(f"array<{SEGMENT}>"))
 
 
 def paragraph_segments(paragraph: Column, sents: Column, max_chars: int = MAX_CHARS) -> Column:
@@ -101,16 +106,12 @@ def segments(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """One row per segment of at least MIN_SEGMENT_WORDS words; segment_idx counts all of a paragraph's, so it may have gaps."""
     found = explode_paragraphs(docs, text_col).withColumn("sents", sentences(F.col("paragraph")))
     rest = [c for c in docs.columns if c != text_col]
-    rows = found.select(*rest, "paragraph_idx", F.posexplode(paragraph_segments(F.col("paragraph"), F.col("sents"))).alias("segment_idx", "segment"))
-    return rows.select(
-        *rest,
-        "paragraph_idx",
-        "segment_idx",
-        F.col("segment.text").alias("text"),
-        F.length("segment.text").alias("char_count"),
-        count_words(F.col("segment.text")).alias("word_count"),
-        F.col("segment.n").alias("sentence_count"),
-    ).where(F.col("word_count") >= MIN_SEGMENT_WORDS)
+    # The words are counted here, once: a filter on a column of counts would count them again.
+    every = F.transform(
+        paragraph_segments(F.col("paragraph"), F.col("sents")),
+        lambda s, i: F.struct(i.alias("segment_idx"), s["text"].alias("text"), F.length(s["text"]).alias("char_count"), count_words(s["text"]).alias("word_count"), s["n"].alias("sentence_count")),
+    )
+    return found.select(*rest, "paragraph_idx", F.inline(F.filter(every, lambda s: s["word_count"] >= MIN_SEGMENT_WORDS)))
 
 
 def segmentation_stats(segs: DataFrame) -> DataFrame:
