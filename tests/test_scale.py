@@ -2,9 +2,11 @@
 
 import re
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from textloom.operators import dedup, lexicon, segment
+from textloom.functions import html
+from textloom.operators import dedup, encoder, lexicon, segment, vectors
 
 
 def test_texts_without_the_letters_of_the_lexicon_are_not_matched(spark):
@@ -49,3 +51,29 @@ def test_early_rows_decide_the_same(spark, monkeypatch):
 def test_pairs_of_copies_are_pairs(spark):
     rows = spark.createDataFrame([(1, "Один длинный текст"), (2, "один, длинный текст!"), (3, "Один длинный текст."), (4, "другое содержание"), (5, "мало"), (6, "мало"), (7, None)], "seq bigint, text string").withColumn("period", F.lit("p"))
     assert sorted((r["a"], r["b"], r["similarity"]) for r in dedup.pairs_with_copies(rows, "seq").collect()) == [(1, 2, 1.0), (1, 3, 1.0), (2, 3, 1.0)]
+
+
+def peak(run) -> float:
+    """MB that Python allocates at most meanwhile."""
+    import tracemalloc
+
+    tracemalloc.start()
+    run()
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    return most / 1e6
+
+
+def test_python_holds_slices_of_a_batch():
+    """The functions behind the Arrow columns, run here over one large batch."""
+    texts = pa.array(["<p>" + "wort und text " * 40 + "</p>"] * 5000)
+    assert peak(lambda: html.html_batch(texts)) < 12
+    assert peak(lambda: encoder.encode_batch(pa.array(["ein text"] * 5000), encoder.HashingEncoder(64))) < 6
+
+
+def test_neighbours_with_ties_over_slices(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "NEAR_ROWS", 3)
+    points = [[1.0, 0.0], [0.0, 1.0], [1.0, 1.0]] * 8
+    rows = spark.createDataFrame([(i, p) for i, p in enumerate(points)], "vec_id bigint, embedding array<double>").repartition(2)
+    got = vectors.knn_cosine(rows.where("vec_id < 3"), rows, 4).orderBy("query_id", "place").collect()
+    assert [r["id"] for r in got] == [3, 6, 9, 12, 4, 7, 10, 13, 5, 8, 11, 14]

@@ -5,7 +5,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,21 +31,24 @@ class HashingEncoder:
         return out
 
 
+def encode_batch(texts: pa.Array, encoder: Callable, normalize: bool = True, batch: int = BATCH) -> pa.Array:
+    """The vectors of texts; only `batch` of them at once are Python's, the others stay in Arrow's buffers."""
+    import numpy as np
+
+    out = [pa.array([], pa.list_(pa.float32()))]
+    for at in range(0, len(texts), batch):
+        m = np.asarray(encoder([t or "" for t in texts.slice(at, batch).to_pylist()]), np.float32)
+        if normalize:
+            m = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
+        ends = np.arange(len(m) + 1, dtype=np.int32) * np.int32(m.shape[1])
+        out.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(m.reshape(-1), pa.float32())))
+    return pa.concat_arrays(out)
+
+
 def encode_documents(docs: DataFrame, encoder: Callable, text_col: str = "text", normalize: bool = True, batch: int = BATCH) -> DataFrame:
     """docs with embedding (array<float>). The encoder is shipped to the workers, where it may load its model on first use.
 
     With normalize, rows have length 1; a zero vector stays. A null text is encoded as an empty one.
     """
-    @F.pandas_udf("array<float>")
-    def run(texts: pd.Series) -> pd.Series:
-        import numpy as np
-
-        out = []
-        for at in range(0, len(texts), batch):
-            m = np.asarray(encoder([t or "" for t in texts[at : at + batch]]), np.float32)
-            if normalize:
-                m = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
-            out += list(m)
-        return pd.Series(out, index=texts.index)
-
+    run = F.arrow_udf(lambda texts: encode_batch(texts, encoder, normalize, batch), "array<float>")
     return docs.withColumn("embedding", run(F.col(text_col)))
