@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from textloom.functions import html
+from textloom.functions import html, text
 from textloom.operators import dedup, encoder, lexicon, segment, vectors
 
 
@@ -94,3 +94,10 @@ def test_large_groups_are_clustered_by_all_tasks(spark, monkeypatch):
             m.setattr(vectors, "hdbscan", None)
             got = {x["id"]: (x["cluster"], round(x["probability"], 9)) for x in vectors.hdbscan_labels(rows, **options).collect()}
         assert got == want and len({c for c, _ in got.values()}) > 3
+
+
+def test_has_words_is_a_count_of_words(spark):
+    texts = ["", "a", "a b", "a-b  c", "one, two; three four", "ё1 Ё2", "- - -", "abc" * 50, None]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    for least in (1, 2, 3, 4):
+        assert all(r[0] == r[1] for r in rows.select(text.has_words(F.col("text"), least), text.count_words(F.col("text")) >= least).collect())

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.functions.text import SPACE, any_case, bind, count_words, strip
+from textloom.functions.text import SPACE, any_case, bind, count_words, has_words, strip
 
 #: Limits, and abbreviations whose full stops end no sentence, in the order of their protection.
 MAX_CHARS = 1500
@@ -27,7 +27,7 @@ GUARD = "\x03"
 def paragraphs(c: Column) -> Column:
     """Blocks between blank lines with at least MIN_PARAGRAPH_WORDS words."""
     blocks = F.transform(F.split(c, rf"\n{SPACE}*\n", -1), strip)
-    return F.filter(blocks, lambda p: (p != "") & (count_words(p) >= MIN_PARAGRAPH_WORDS))
+    return F.filter(blocks, lambda p: has_words(p, MIN_PARAGRAPH_WORDS))
 
 
 #: Any of them: most texts of some languages have none and are left alone after one search.
